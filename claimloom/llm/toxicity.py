@@ -98,26 +98,37 @@ def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, senten
     if not len(y) or y.min() == y.max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Model({}, np.zeros(0), float(np.log(share / (1 - share))) if len(y) else -60.0)
-    features = [names_of(words_of(t)) for t in texts]
-    seen, hits = {}, {}
-    for f, label in zip(features, labels):
-        for name in f:
-            seen[name] = seen.get(name, 0) + 1
-            if label:
-                hits[name] = hits.get(name, 0) + 1
+    number: dict[str, int] = {}
+    ids_of = lambda words: np.fromiter((number.setdefault(n, len(number)) for n in sorted(names_of(words))), np.int64)
+    features = [ids_of(words_of(t)) for t in texts]
+    pairs = [p for t in (texts if sentences is None else sentences) for p in swaps(t, sets)]
+    before, after = ([ids_of(p[k]) for p in pairs] for k in (0, 1))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
 
-    def information(name: str) -> float:
-        a, b = hits.get(name, 0), seen[name] - hits.get(name, 0)
-        return abs(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))) * np.sqrt(seen[name])
-
-    chosen = sorted((x for x in seen if seen[x] >= MIN_DOCS), key=lambda x: (-information(x), x))[:VOCABULARY]
-    vocabulary = {name: k for k, name in enumerate(chosen)}
-    matrix = lambda rows: ([vocabulary[n] for f in rows for n in f if n in vocabulary], [k for k, f in enumerate(rows) for n in f if n in vocabulary])
-    columns, rows = map(np.array, matrix(features))
-    pairs = [p for t in (texts if sentences is None else sentences) for p in swaps(t, sets)]
-    ca, ra = (np.array(x, int) for x in matrix([names_of(a) for a, _ in pairs]))
-    cb, rb = (np.array(x, int) for x in matrix([names_of(b) for _, b in pairs]))
+    def flat(rows):
+        """Ids, and the row of each."""
+        return np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
+
+    columns, rows = flat(features)
+    hits = np.bincount(columns, y[rows], len(number))
+    seen = np.bincount(columns, minlength=len(number))
+    information = np.abs(np.log((hits + 0.5) / (n1 + 1)) - np.log((seen - hits + 0.5) / (n0 + 1))) * np.sqrt(seen)
+    information[seen < MIN_DOCS] = -1
+    # of equals the first by name: numbers depend on the order of texts, names don't
+    names = list(number)
+    chosen = sorted(np.flatnonzero(information >= 0), key=lambda k: (-information[k], names[k]))[:VOCABULARY]
+    place = np.full(len(number), -1)
+    place[chosen] = np.arange(len(chosen))
+    vocabulary = {names[k]: int(place[k]) for k in chosen}
+
+    def matrix(rows):
+        columns, row = flat(rows)
+        columns = place[columns] if len(place) else columns
+        return columns[columns >= 0], row[columns >= 0]
+
+    columns, rows = matrix(features)
+    ca, ra = matrix(before)
+    cb, rb = matrix(after)
     weight = np.where(y == 1, prior / n1, (1 - prior) / n0)
     w, bias = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
     m, v, size = np.zeros(len(w) + 1), np.zeros(len(w) + 1), len(w)
@@ -141,20 +152,28 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on labelled rows that are not held out. What reaches the driver is at most 2 x sample texts' words."""
+    """Fits on labelled rows that are not held out, in one task: the sample is bounded. The driver gets the weights."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
     # the sample is drawn by a hash of the id before any text is read
     drawn = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    drawn = drawn[0].unionByName(drawn[1])
-    # sentences that name a group are kept as they are, of the rest each word once; bounded as the sample is
+    drawn = drawn[0].unionByName(drawn[1])  # at most 2 x sample rows
+    # sentences that name a group are kept as they are, of the rest each word once
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
     terms = "|".join(t for s in IDENTITY for t in s)
     named = F.filter(F.split(F.lower("text"), r"[.!?\n]+"), lambda s: F.rlike(s, F.lit(rf"\b({terms})\b")))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", F.array_join(words, " ").alias("words"), F.array_join(named, "\n").alias("named"))
-    pdf = rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit(pdf["words"].fillna("").tolist(), pdf["toxic"].tolist(), prior, sentences=pdf["named"].fillna("").tolist())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "words"], kind="stable").drop_duplicates("doc_id")
+        model = fit(pdf["words"].fillna("").tolist(), pdf["toxic"].tolist(), prior, sentences=pdf["named"].fillna("").tolist())
+        return pd.DataFrame({"name": [None, *model.weights], "weight": [model.bias, *model.weights.values()]})
+
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "name string, weight double").collect()  # at most VOCABULARY + 1 rows
+    weights = {r["name"]: r["weight"] for r in found}
+    bias = weights.pop(None, -60.0)
+    return Model({n: k for k, n in enumerate(weights)}, np.array(list(weights.values())), bias)
 
 
 def scores(model: Model):
