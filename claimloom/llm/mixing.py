@@ -84,24 +84,29 @@ def positions(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     docs = docs.withColumn("_bucket", F.pmod("_row", F.lit(buckets)).cast("int"))
     sums = docs.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_words"))
     sums = materialise(sums)
-    targets = source_targets(sums.groupBy("_src").agg(F.sum("_words").alias("_source_size")), schedules, repeat_cap)
+    targets = materialise(source_targets(sums.groupBy("_src").agg(F.sum("_words").alias("_source_size")), schedules, repeat_cap))
     w = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_words").over(w), F.lit(0))).drop("_words").join(targets, "_src")
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_words").over(w), F.lit(0))).drop("_words").join(targets.drop("_curve", "_weight"), "_src")
     inside = Window.partitionBy("_src", "_bucket").orderBy("_row", F.col(id_col), "_size").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(offsets, ["_src", "_bucket"])
     middle = F.col("_offset") + F.col("_before") + F.col("_size") / 2
     passes = F.floor((F.col("_target") - middle) / F.nullif(F.col("_source_size"), F.lit(0))) + 1
     copies = F.greatest(F.lit(0), F.least(F.lit(math.ceil(repeat_cap)), F.coalesce(passes, F.lit(0)))).cast("int")
     docs = docs.withColumn("_copies", copies).withColumn("_middle", middle)
-
-    def when_reached(e):
-        y = (e * F.col("_source_size") + F.col("_middle")) / F.col("_target")
-        k = F.least(F.lit(STEPS), F.greatest(F.lit(1), F.size(F.filter("_curve", lambda g: g <= y))))
-        low, high = F.element_at("_curve", k), F.element_at("_curve", k + 1)
-        return (k - 1 + F.when(high > low, (y - low) / (high - low)).otherwise(F.lit(0.0))) / STEPS
-
+    if all(len(k) == 1 for k in schedules):  # shares that never change: demand grows in proportion to time
+        curved = docs
+        time_of = lambda y: y
+    else:
+        curved = docs.join(targets.select("_src", "_curve"), "_src")
+
+        def time_of(y):
+            k = F.least(F.lit(STEPS), F.greatest(F.lit(1), F.size(F.filter("_curve", lambda g: g <= y))))
+            low, high = F.element_at("_curve", k), F.element_at("_curve", k + 1)
+            return (k - 1 + F.when(high > low, (y - low) / (high - low)).otherwise(F.lit(0.0))) / STEPS
+
+    when_reached = lambda e: time_of((e * F.col("_source_size") + F.col("_middle")) / F.col("_target"))
     places = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), when_reached)).otherwise(F.array().cast("array<double>"))
-    return docs.withColumn("_positions", places).drop("_src", "_bucket", "_before", "_offset", "_middle", "_curve", "_weight")
+    return curved.withColumn("_positions", places).drop("_src", "_bucket", "_before", "_offset", "_middle", "_curve")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
