@@ -1,4 +1,546 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL, over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from claimloom.functions import html, ids, text, url, vocab
+from claimloom.operators import claims, index, metrics, refresh, resolve
+from claimloom.plans import query_language
+from claimloom.session import table
+from claimloom.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# sources
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 3 = 0 THEN 'NO ' || o_custkey || '-00000' WHEN o_orderkey % 3 = 1 THEN lpad(CAST(o_custkey AS VARCHAR), 9, '1') ELSE ' ' || lpad(CAST(o_custkey AS VARCHAR), 9, '1') || ' ' END AS input FROM orders),
+d AS (SELECT pos, input, regexp_replace(input, '[^0-9]', '', 'g') AS digits FROM r)
+SELECT digits AS org, arg_min(input, pos) AS input, CAST(NULL AS VARCHAR) AS error, min(pos) AS pos FROM d WHERE length(digits) = 9 GROUP BY digits
+UNION ALL SELECT NULL, input, 'not an id of nine digits', pos FROM d WHERE length(digits) <> 9""")
+def input_validate_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_custkey").cast("string")
+    nine = F.lpad(key, 9, "1")
+    messy = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("NO "), key, F.lit("-00000"))).when(F.col("o_orderkey") % 3 == 1, nine).otherwise(F.concat(F.lit(" "), nine, F.lit(" ")))
+    return readers.valid_ids(table(spark, d, "orders").select(messy.alias("input"), F.col("o_orderkey").alias("pos")))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def universe_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").filter("o_orderstatus = 'P'")
+    return table(spark, d, "customer").join(o, F.col("c_custkey") == o["o_custkey"], "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def unreached_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").filter("o_orderstatus = 'P'")
+    return table(spark, d, "customer").join(o, F.col("c_custkey") == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def changelog_latest_per_key(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return claims.latest_per_key(e, ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT count(*) AS ads, count(*) FILTER (event_type = 'click') AS active FROM (SELECT arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id)")
+def feed_report(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("uuid"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "ACTIVE").otherwise("INACTIVE").alias("status"))
+    return readers.feed_report(e)
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_key, count(*) AS copies, left(sha256(text), 2) AS folder FROM documents GROUP BY 1")
+def raw_store_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return readers.raw_pages(table(spark, d, "documents"), "text", "doc_id")
+
+
+# normalisers
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def normalize_json_path(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT)").alias("k"))
+
+
+_STATUS = "CASE WHEN code = 200 THEN 'available' WHEN code IN (404, 410) THEN 'not_found' ELSE 'source_error' END"
+
+
+@query(f"""
+WITH e AS (SELECT [200, 404, 410, 500, 403][1 + event_id % 5] AS code FROM events), s AS (SELECT code, {_STATUS} AS status FROM e)
+SELECT status, CASE WHEN status = 'available' THEN 'available' WHEN status = 'not_found' THEN 'not_available' WHEN code = 403 THEN 'blocked' ELSE 'failed' END AS state, count(*) AS n FROM s GROUP BY 1, 2""")
+def status_classify(spark: SparkSession, d: str) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, (200, 404, 410, 500, 403))), (F.col("event_id") % 5 + 1).cast("int"))
+    e = table(spark, d, "events").select(code.alias("code")).withColumn("status", claims.http_status(F.col("code")))
+    return e.withColumn("state", claims.record_state(F.col("status"), F.concat(F.lit("HTTP "), F.col("code").cast("string")))).groupBy("status", "state").agg(F.count("*").alias("n"))
+
+
+# claims
+
+_CUSTOMER = {"c_name": "legal_identity", "c_mktsegment": "legal_identity", "c_nationkey": "registered_workplaces"}
+_UNPIVOT = """
+SELECT CAST(c_custkey AS VARCHAR) AS org, 0 AS pos, 'legal_identity' AS family, 'c_name' AS field, '"' || c_name || '"' AS value_json FROM customer WHERE c_name <> ''
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 1, 'legal_identity', 'c_mktsegment', '"' || c_mktsegment || '"' FROM customer WHERE c_mktsegment <> ''
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 2, 'registered_workplaces', 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_nationkey IS NOT NULL"""
+
+
+@query(_UNPIVOT)
+def claims_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    return claims.unpivot(table(spark, d, "customer"), "c_custkey", _CUSTOMER)
+
+
+@query(f"""
+WITH u AS ({_UNPIVOT}), k AS (SELECT *, org || '|' || family || '|' || field || '|' || trim(regexp_replace(lower(value_json), '\\s+', ' ', 'g')) AS claim_key FROM u)
+SELECT claim_key, 'cl-' || left(sha256(claim_key), 16) AS claim_id, left(sha256(value_json), 16) AS value_hash FROM k""")
+def claim_ids(spark: SparkSession, d: str) -> DataFrame:
+    return claims.identify(claims_unpivot(spark, d)).select("claim_key", "claim_id", "value_hash")
+
+
+@query("""SELECT n_nationkey, 'ev-' || left(sha256('"https://registry.example/' || n_name || '"|' || '"' || sha256(n_name) || '"|"register"'), 16) AS evidence_id FROM nation""")
+def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
+    address = F.concat(F.lit("https://registry.example/"), F.col("n_name"))
+    return table(spark, d, "nation").select("n_nationkey", ids.evidence_id(address, F.sha2("n_name", 256), F.lit("register")).alias("evidence_id"))
+
+
+_YEARLY = """
+SELECT CAST(o_custkey AS VARCHAR) AS org, year(o_orderdate) || '-01-01..' || year(o_orderdate) || '-12-31' AS reporting_period,
+       CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS revenue, CAST(count(*) AS BIGINT) AS assets FROM orders GROUP BY 1, 2"""
+
+
+def yearly(spark: SparkSession, d: str) -> DataFrame:
+    year = F.year("o_orderdate").cast("string")
+    period = F.concat(year, F.lit("-01-01.."), year, F.lit("-12-31"))
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("org"), period.alias("reporting_period")).agg(F.sum(F.round("o_totalprice").cast("long")).alias("revenue"), F.count("*").alias("assets"))
+
+
+@query(f"""
+WITH y AS ({_YEARLY}), u AS (SELECT org, reporting_period, 'revenue' AS field, revenue AS amount FROM y UNION ALL SELECT org, reporting_period, 'assets', assets FROM y)
+SELECT org, reporting_period, field, CAST(amount AS DOUBLE) AS amount, left(sha256('{{"account_type": "SELSKAP", "amount": ' || amount || '.0, "currency": "NOK"}}'), 16) AS value_hash FROM u""")
+def accounts_unpivot_yearly(spark: SparkSession, d: str) -> DataFrame:
+    rows = yearly(spark, d).withColumns({"currency": F.lit("NOK"), "account_type": F.lit("SELSKAP")})
+    return claims.figures(rows, "org", "reporting_period", "currency", "account_type").select("org", "reporting_period", "field", "amount", "value_hash")
+
+
+@query(f"""
+WITH y AS ({_YEARLY}), w AS (SELECT org, reporting_period, revenue, lag(reporting_period) OVER p AS previous_period, lag(revenue) OVER p AS previous_value, row_number() OVER (PARTITION BY org ORDER BY reporting_period DESC) AS k FROM y WINDOW p AS (PARTITION BY org ORDER BY reporting_period))
+SELECT org, reporting_period, revenue, previous_period, previous_value FROM w WHERE k = 1""")
+def yoy_latest_vs_previous(spark: SparkSession, d: str) -> DataFrame:
+    return index.year_over_year(yearly(spark, d).drop("assets"), ["org"], "reporting_period", "revenue")
+
+
+@query(f"WITH y AS ({_YEARLY}) SELECT org, reporting_period, revenue, assets FROM (SELECT *, dense_rank() OVER (PARTITION BY org ORDER BY reporting_period DESC) AS k FROM y) WHERE k = 2")
+def kth_latest_period(spark: SparkSession, d: str) -> DataFrame:
+    return index.kth_latest(yearly(spark, d), ["org"], "reporting_period", 2)
+
+
+# index and queries over it
+
+_INDEX = """
+SELECT CAST(c.c_custkey AS VARCHAR) AS o, c.c_name AS n, c.c_mktsegment AS f, n.n_name AS m, CAST(x.e AS BIGINT) AS e, x.r, x.r0, CAST(round(c.c_acctbal) AS BIGINT) AS p, x.fy, CASE WHEN c.c_custkey % 3 = 0 THEN 'https://c' || c.c_custkey || '.example/' END AS w, CAST(coalesce(x.j, 0) AS BIGINT) AS j
+FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN (
+  SELECT o_custkey, count(*) AS e, CAST(min(year(o_orderdate)) AS INTEGER) AS fy, count(*) FILTER (o_orderstatus = 'O') AS j,
+         CAST(sum(v) FILTER (k = 1) AS BIGINT) AS r, CAST(sum(v) FILTER (k = 2) AS BIGINT) AS r0
+  FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS v, dense_rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC) AS k FROM orders) GROUP BY 1) x ON x.o_custkey = c.c_custkey"""
+
+
+def small_index(spark: SparkSession, d: str) -> DataFrame:
+    """A company index of the customers: their orders are staff, revenue by year and open jobs."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.year("o_orderdate").alias("y"), F.round("o_totalprice").cast("long").alias("v"))
+    by_year = o.groupBy("o_custkey", "y").agg(F.sum("v").alias("v"), F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("j"))
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("y").desc()))
+    own = by_year.withColumn("k", k).groupBy("o_custkey").agg(F.sum("n").alias("e"), F.min("y").alias("fy"), F.sum("j").alias("j"), F.sum(F.when(F.col("k") == 1, F.col("v"))).alias("r"), F.sum(F.when(F.col("k") == 2, F.col("v"))).alias("r0"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.join(own, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.col("c_custkey").cast("string").alias("o"), F.col("c_name").alias("n"), F.col("c_mktsegment").alias("f"), F.col("n_name").alias("m"), "e", "r", "r0",
+        F.round("c_acctbal").cast("long").alias("p"), "fy", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://c"), F.col("c_custkey").cast("string"), F.lit(".example/"))).alias("w"), F.coalesce("j", F.lit(0)).alias("j"),
+    )
+
+
+@query(_INDEX)
+def index_row(spark: SparkSession, d: str) -> DataFrame:
+    return small_index(spark, d)
+
+
+def ask(spark: SparkSession, d: str, question: str, *columns: str) -> DataFrame:
+    rows = small_index(spark, d).withColumns({"i": F.lit(None).cast("string"), "a": F.create_map().cast("map<string,string>"), "sp": F.array().cast("array<string>"), "y": F.lit(0)})
+    names = [r["n_name"] for r in table(spark, d, "nation").select("n_name").collect()]  # 25 rows
+    return query_language.select(rows, query_language.parse(question, names)).select(*columns)
+
+
+@query(f"WITH x AS ({_INDEX}) SELECT o, n, p, e FROM x WHERE p > 0 AND m = (SELECT min(n_name) FROM nation) AND e > 10")
+def filter_profitable_place_size(spark: SparkSession, d: str) -> DataFrame:
+    place = table(spark, d, "nation").agg(F.min("n_name")).first()[0]
+    return ask(spark, d, f"profitable companies in {place} with more than 10 employees", "o", "n", "p", "e")
+
+
+@query(f"WITH x AS ({_INDEX}) SELECT o, r, r0 FROM x WHERE r > r0")
+def filter_growing(spark: SparkSession, d: str) -> DataFrame:
+    return ask(spark, d, "growing revenue", "o", "r", "r0")
+
+
+@query(f"WITH x AS ({_INDEX}) SELECT o, r FROM x WHERE r > 500000 AND w IS NOT NULL AND fy < 1996")
+def filter_revenue_website_founded(spark: SparkSession, d: str) -> DataFrame:
+    return ask(spark, d, "companies with a website and revenue over NOK 500k founded before 1996", "o", "r")
+
+
+@query(f"WITH x AS ({_INDEX}) SELECT o, r FROM x WHERE r IS NOT NULL ORDER BY r DESC, o LIMIT 10")
+def topn_by_figure(spark: SparkSession, d: str) -> DataFrame:
+    return ask(spark, d, "top 10 by revenue", "o", "r")
+
+
+@query(f"WITH x AS ({_INDEX}) SELECT o FROM x WHERE false")
+def refused_question(spark: SparkSession, d: str) -> DataFrame:
+    return ask(spark, d, "companies with good reviews", "o")
+
+
+@query(f"""WITH x AS ({_INDEX}), y AS (SELECT o, r, p FROM x WHERE o IN ('1', '2', '3', '4'))
+SELECT o, r, p, coalesce(r = max(r) OVER (), false) AS r_is_max, coalesce(p = max(p) OVER (), false) AS p_is_max FROM y""")
+def compare_entities_max(spark: SparkSession, d: str) -> DataFrame:
+    return index.compare(small_index(spark, d).filter(F.col("o").isin("1", "2", "3", "4")).select("o", "r", "p"), ["r", "p"])
+
+
+@query(f"""WITH x AS ({_INDEX}), s AS (
+  SELECT o, 0 AS pos, n || ' is registered in ' || m || '.' AS t FROM x UNION ALL SELECT o, 1, 'The registry reports ' || e || ' employees.' FROM x WHERE e IS NOT NULL
+  UNION ALL SELECT o, 2, 'Its verified website is ' || w || '.' FROM x WHERE w IS NOT NULL)
+SELECT o AS org, string_agg(t, ' ' ORDER BY pos) AS text FROM s GROUP BY o""")
+def summary_sentences(spark: SparkSession, d: str) -> DataFrame:
+    from claimloom.operators import summary
+
+    x = small_index(spark, d)
+    cells = [
+        (0, F.concat(F.col("n"), F.lit(" is registered in "), F.col("m"), F.lit("."))),
+        (1, F.concat(F.lit("The registry reports "), F.col("e").cast("string"), F.lit(" employees."))),
+        (2, F.concat(F.lit("Its verified website is "), F.col("w"), F.lit("."))),
+    ]
+    rows = x.select(F.col("o").alias("org"), F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), t.alias("text")) for k, t in cells])).alias("s")).select("org", "s.*").filter("text is not null")
+    return summary.summaries(rows)
+
+
+# refresh
+
+_SNAP = """
+WITH base AS (SELECT CAST(o_custkey AS VARCHAR) AS org, 'o|' || o_orderkey AS claim_key, o_orderkey AS k,
+  ['jobs', 'leadership', 'dated_activity', 'company_profiles', 'annual_accounts'][1 + (o_orderkey // 2) % 5] AS family, CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS v FROM orders),
+p AS (SELECT org, claim_key, k, family, v, left(sha256(v), 16) AS h, k % 13 = 0 AS stale, CASE WHEN k % 17 = 0 THEN 'x' END AS alias_of FROM base WHERE k % 7 <> 0),
+c AS (SELECT org, claim_key, k, family, CASE WHEN k % 5 = 0 THEN v || '1' ELSE v END AS v, left(sha256(CASE WHEN k % 5 = 0 THEN v || '1' ELSE v END), 16) AS h, CASE WHEN k % 17 = 0 THEN 'x' END AS alias_of FROM base WHERE k % 11 <> 0),
+j AS (SELECT coalesce(p.org, c.org) AS org, coalesce(p.claim_key, c.claim_key) AS claim_key, coalesce(p.k, c.k) AS k, coalesce(p.family, c.family) AS family, p.v AS pv, c.v AS cv, p.h AS ph, c.h AS ch, p.stale, p.alias_of AS pa, c.alias_of AS ca
+  FROM p FULL JOIN c ON p.org = c.org AND p.claim_key = c.claim_key),
+a AS (SELECT *, family <> 'leadership' OR CAST(org AS BIGINT) % 3 <> 0 AS checked, family = 'jobs' AND CAST(org AS BIGINT) % 4 = 0 AS was_failed, family = 'company_profiles' AS derived FROM j),
+d AS (SELECT *, CASE
+  WHEN ph IS NULL AND ca IS NOT NULL THEN 'alias_added' WHEN ph IS NULL AND (was_failed OR derived) THEN 'backfilled' WHEN ph IS NULL THEN 'added'
+  WHEN ch IS NOT NULL AND ph = ch THEN 'unchanged' WHEN ch IS NOT NULL THEN 'changed'
+  WHEN checked AND NOT derived AND pa IS NOT NULL THEN 'dropped' WHEN family = 'dated_activity' AND checked THEN 'historical'
+  WHEN NOT checked OR (derived AND NOT stale) OR family = 'annual_accounts' THEN 'stale' ELSE 'removed' END AS action FROM a),
+t AS (SELECT *, CASE WHEN action = 'changed' THEN 'changed_order' WHEN action = 'added' THEN CASE family WHEN 'jobs' THEN 'new_job' WHEN 'leadership' THEN 'new_role' WHEN 'dated_activity' THEN 'new_activity' ELSE 'new_filing' END
+  WHEN action = 'removed' THEN CASE family WHEN 'jobs' THEN 'closed_job' WHEN 'leadership' THEN 'removed_role' ELSE 'removed_company_profile' END END AS change_type FROM d),
+ch AS (SELECT org, 'chg-' || left(sha256(claim_key || '|' || change_type || '|' || coalesce(ph, 'None') || '|' || coalesce(ch, 'None')), 16) AS change_id, change_type, claim_key, family, pv AS previous_value, cv AS current_value,
+  CASE WHEN family = 'leadership' THEN k % 3 = 0 OR change_type IN ('new_role', 'removed_role') ELSE family IN ('jobs', 'annual_accounts') END AS material FROM t WHERE change_type IS NOT NULL)
+"""
+
+
+def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Two runs of claims out of the orders, and the states of their families."""
+    k = F.col("o_orderkey")
+    family = F.element_at(F.array(*map(F.lit, ("jobs", "leadership", "dated_activity", "company_profiles", "annual_accounts"))), (F.floor(k / 2) % 5 + 1).cast("int"))
+    v = F.round("o_totalprice").cast("long").cast("string")
+    base = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("org"), F.concat(F.lit("o|"), k.cast("string")).alias("claim_key"), k.alias("k"), family.alias("family"), F.lit("order").alias("field"), v.alias("value_json"), F.when(k % 17 == 0, "x").alias("alias_of"), F.when(k % 3 == 0, "DAGL").otherwise("MEDL").alias("role_code"), F.array(F.concat(F.lit("ev"), (k % 100).cast("string"))).alias("evidence_ids"))
+    p = base.filter("k % 7 <> 0").withColumns({"value_hash": ids.value_hash(F.col("value_json")), "stale": F.col("k") % 13 == 0}).drop("k")
+    c = base.filter("k % 11 <> 0").withColumn("value_json", F.when(F.col("k") % 5 == 0, F.concat("value_json", F.lit("1"))).otherwise(F.col("value_json")))
+    c = c.withColumn("value_hash", ids.value_hash(F.col("value_json"))).drop("k")
+    orgs = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("org")).withColumn("family", F.explode(F.array(*map(F.lit, vocab.FAMILIES))))
+    state = lambda fam, n: F.when((F.col("family") == fam) & (F.col("org").cast("long") % n == 0), "failed").otherwise("available").alias("state")
+    return p, c, orgs.select("*", state("jobs", 4)), orgs.select("*", state("leadership", 3))
+
+
+@query(_SNAP + "SELECT org, claim_key, family, action FROM t")
+def snapshot_diff_full_outer(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.diff(*snapshots(spark, d)).select("org", "claim_key", "family", "action")
+
+
+@query(_SNAP + "SELECT change_type, material, count(*) AS n FROM ch GROUP BY 1, 2")
+def snapshot_diff_counts(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.changes(refresh.diff(*snapshots(spark, d))).groupBy("change_type", "material").agg(F.count("*").alias("n"))
+
+
+@query(_SNAP + "SELECT org, change_id, change_type, claim_key, family, previous_value, current_value, material FROM ch")
+def change_log_union(spark: SparkSession, d: str) -> DataFrame:
+    """The log of a run that is replayed: the same ids, nothing twice."""
+    found = refresh.changes(refresh.diff(*snapshots(spark, d)))
+    return refresh.merge_log(found, found).select("org", "change_id", "change_type", "claim_key", "family", "previous_value", "current_value", "material")
+
+
+@query(_SNAP + """SELECT org, count(*) FILTER (action IN ('added', 'changed', 'removed')) AS changes, count(*) FILTER (action = 'stale') AS stale, count(*) FILTER (action = 'historical') AS historical, count(*) FILTER (action = 'backfilled') AS backfilled FROM t GROUP BY org""")
+def refresh_counts(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.counts(refresh.diff(*snapshots(spark, d)))
+
+
+@query(_SNAP + """, k1 AS (SELECT claim_key, family, action FROM t WHERE action = 'stale' AND family = 'company_profiles')
+SELECT claim_key, family, 'stale' AS first_run, 'removed' AS second_run FROM k1""")
+def debounce_two_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles missed once are carried as stale; missed again, in a third run without them, they are removed."""
+    p, c, before, now = snapshots(spark, d)
+    missed = refresh.apply(p, c, before, now).claims.filter("stale and family = 'company_profiles'")
+    again = refresh.diff(missed, c.filter(F.lit(False)), now, now).select("claim_key", "family", F.lit("stale").alias("first_run"), F.col("action").alias("second_run"))
+    return again
+
+
+@query(_SNAP + """, cited AS (SELECT org, 'ev' || k % 100 AS id FROM t WHERE action IN ('stale', 'historical', 'changed', 'removed')),
+own AS (SELECT DISTINCT org, 'ev' || k % 100 AS id FROM c), old AS (SELECT DISTINCT org, 'ev' || k % 100 AS id FROM p)
+SELECT org, id, false AS from_previous_run FROM own UNION ALL SELECT org, id, true FROM old WHERE (org, id) IN (SELECT (org, id) FROM cited) AND (org, id) NOT IN (SELECT (org, id) FROM own)""")
+def evidence_carry(spark: SparkSession, d: str) -> DataFrame:
+    p, c, before, now = snapshots(spark, d)
+    out = refresh.apply(p, c, before, now)
+    facts = lambda df: df.select("org", F.explode("evidence_ids").alias("id")).distinct()
+    return refresh.carried_evidence(out.claims, out.changes, facts(p), facts(c))
+
+
+@query("""
+WITH a AS (SELECT s_suppkey, unnest(['s_name', 's_nationkey', 's_acctbal']) AS path, unnest([s_name, CAST(s_nationkey AS VARCHAR), CAST(CAST(round(s_acctbal) AS BIGINT) AS VARCHAR)]) AS v FROM supplier),
+b AS (SELECT s_suppkey, unnest(['s_name', 's_nationkey', 's_acctbal']) AS path, unnest([CASE WHEN s_suppkey % 5 = 0 THEN s_name || '!' ELSE s_name END, CAST(s_nationkey AS VARCHAR), CAST(CAST(round(s_acctbal) AS BIGINT) + s_suppkey % 2 AS VARCHAR)]) AS v FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, coalesce(a.path, b.path) AS path, a.v AS before, b.v AS after FROM a FULL JOIN b ON a.s_suppkey = b.s_suppkey AND a.path = b.path WHERE a.v IS DISTINCT FROM b.v""")
+def record_diff_leaf(spark: SparkSession, d: str) -> DataFrame:
+    a, b = supplier_versions(spark, d)
+    return refresh.record_diff(a, b, "s_suppkey")
+
+
+def supplier_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.round("s_acctbal").cast("long").alias("s_acctbal"))
+    b = a.filter("s_suppkey % 7 <> 0").withColumn("s_name", F.when(F.col("s_suppkey") % 5 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")))
+    return a, b.withColumn("s_acctbal", F.col("s_acctbal") + F.col("s_suppkey") % 2)
+
+
+@query("SELECT s_suppkey, 'left' AS side FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT s_suppkey + 1000000, 'right' FROM supplier WHERE s_suppkey % 9 = 0")
+def only_left_right(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_suppkey")
+    return metrics.only_in(s, s.filter("s_suppkey % 7 <> 0").unionByName(s.filter("s_suppkey % 9 = 0").withColumn("s_suppkey", F.col("s_suppkey") + 1_000_000)), ["s_suppkey"])
+
+
+# metrics
+
+
+@query("""
+WITH e AS (SELECT l_orderkey, CASE WHEN l_quantity > 5 THEN 'u' END AS u, CASE WHEN l_returnflag = 'R' THEN 'h' END AS h, CASE WHEN l_linestatus = 'O' THEN 's' END AS s FROM lineitem),
+f AS (SELECT l_orderkey, count(u) = count(*) AS sourced, count(h) > 0 AS hashed, count(s) > 0 AS kept FROM e GROUP BY 1)
+SELECT count(*) AS claims, count(*) FILTER (sourced) AS with_source, count(*) FILTER (hashed) AS with_hash, count(*) FILTER (kept) AS with_snapshot, count(*) FILTER (o_orderpriority IS NOT NULL) AS with_locator, count(*) FILTER (o_orderstatus = 'F') AS with_span
+FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
+def evidence_metrics(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem").select("l_orderkey", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.xxhash64("*").cast("string")).alias("id"), F.when(F.col("l_quantity") > 5, "u").alias("source_url"), F.when(F.col("l_returnflag") == "R", "h").alias("content_sha256"), F.when(F.col("l_linestatus") == "O", "s").alias("snapshot_path"))
+    cited = line.groupBy("l_orderkey").agg(F.collect_list("id").alias("evidence_ids"))
+    o = table(spark, d, "orders").join(cited, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("claim_id"), "evidence_ids", F.col("o_orderpriority").alias("locator"), F.when(F.col("o_orderstatus") == "F", "f").alias("claim_span"))
+    return metrics.evidence_metrics(o, line.drop("l_orderkey").dropDuplicates(["id"]))
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
+def state_histogram_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.histogram(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"])
+
+
+_STATES = f"""
+WITH fam AS (SELECT unnest({list(vocab.FAMILIES)}) AS family), g AS (SELECT CAST(c_custkey AS VARCHAR) AS org, c_custkey AS k, family FROM customer, fam),
+n AS (SELECT CAST(o_custkey AS VARCHAR) AS org, CASE WHEN o_orderstatus = 'F' THEN 'legal_identity' ELSE 'jobs' END AS family, count(*) AS claims FROM orders GROUP BY 1, 2),
+s AS (SELECT g.org, g.family, CASE WHEN n.claims > 0 THEN 'available' WHEN g.family = 'jobs' AND g.k % 2 = 0 THEN 'failed' ELSE 'not_available' END AS state, CAST(coalesce(n.claims, 0) AS BIGINT) AS claims FROM g LEFT JOIN n ON n.org = g.org AND n.family = g.family)"""
+
+
+def family_states(spark: SparkSession, d: str) -> DataFrame:
+    orgs = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("org"))
+    own = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("org"), F.when(F.col("o_orderstatus") == "F", "legal_identity").otherwise("jobs").alias("family"))
+    known = orgs.filter("org % 2 = 0").select("org", F.lit("jobs").alias("family"), F.lit("failed").alias("state"))
+    return claims.finalize(orgs, own, known)
+
+
+@query(_STATES + "SELECT org, family, state, claims FROM s")
+def finalize_states(spark: SparkSession, d: str) -> DataFrame:
+    return family_states(spark, d)
+
+
+@query(_STATES + "SELECT org, CASE WHEN bool_or(family = 'legal_identity' AND state = 'available') THEN 'available' ELSE 'failed' END AS state FROM s GROUP BY org")
+def overall_state(spark: SparkSession, d: str) -> DataFrame:
+    return claims.overall(family_states(spark, d))
+
+
+@query(_STATES + "SELECT family, round(avg(CASE WHEN state = 'available' THEN 1 ELSE 0 END) * 100, 1) AS percent, count(*) AS companies FROM s GROUP BY family")
+def audit_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.coverage(family_states(spark, d))
+
+
+@query("""
+WITH v AS (SELECT event_type, list_sort(list(value)) AS vs FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT event_type, vs[1 + len(vs) // 2] AS p50, vs[1 + least(len(vs) - 1, len(vs) * 95 // 100)] AS p95, CAST(len(vs) AS BIGINT) AS n FROM v""")
+def runtime_p50_p95_index(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.index_quantiles(table(spark, d, "events"), ["event_type"], "value")
+
+
+@query("SELECT host, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def top_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.top(table(spark, d, "pages").select(url.host(F.col("url")).alias("host")), "host")
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('audit' || doc_id), doc_id LIMIT 50")
+def audit_sample_hash(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.sample(table(spark, d, "documents").select("doc_id"), "doc_id", 50, "audit")
+
+
+@query("""
+WITH ref AS (SELECT DISTINCT doc_id // 10 AS org, 'quality' AS family, doc_id AS key FROM labels WHERE quality = 1), own AS (SELECT DISTINCT doc_id // 10 AS org, 'quality' AS family, doc_id AS key FROM documents WHERE lang = 'en'),
+h AS (SELECT r.org, r.family, max(CASE WHEN o.key IS NULL THEN 0 ELSE 1 END) AS hit, count(o.key) AS hits, count(*) AS n FROM ref r LEFT JOIN own o ON o.org = r.org AND o.key = r.key GROUP BY 1, 2)
+SELECT family, round(avg(hit), 6) AS company_recall, round(sum(hits) / sum(n), 6) AS claim_recall, round(0.7 * avg(hit) + 0.3 * (sum(hits) / sum(n)), 6) AS score FROM h GROUP BY 1""")
+def recall_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    key = lambda df: df.select(F.floor(F.col("doc_id") / 10).alias("org"), F.lit("quality").alias("family"), F.col("doc_id").alias("key"))
+    got = metrics.recall(key(table(spark, d, "documents").filter("lang = 'en'")), key(table(spark, d, "labels").filter("quality = 1")))
+    return got.select("family", *[F.round(c, 6).alias(c) for c in ("company_recall", "claim_recall", "score")])
+
+
+@query("SELECT o_orderkey, CASE WHEN v >= 1000000 THEN 'NOK ' || v // 1000000 || '.0 m' WHEN v >= 1000 THEN 'NOK ' || v // 1000 || ' k' ELSE 'NOK ' || v END AS amount FROM (SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS v FROM orders)")
+def amount_format(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("o_totalprice")
+    return table(spark, d, "orders").select("o_orderkey", text.amount_text(F.when(x >= 1000, F.floor(x / 1000) * 1000).otherwise(F.floor(x)).cast("double")).alias("amount"))
+
+
+# resolution
+
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: NOT list_contains({1}, x)))"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: NOT list_contains({list(vocab.NAME_STOP)}, x) AND length(x) > 1), ' ') AS key FROM part)
+SELECT DISTINCT a.p_partkey AS org, b.p_partkey AS uuid FROM t a JOIN t b ON a.key = b.key AND a.key <> '' WHERE a.p_partkey % 10 = 0""")
+def name_exact_join(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return resolve.exact_names(p.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("org"), F.col("p_name").alias("name")), p.select(F.col("p_partkey").alias("uuid"), F.col("p_name").alias("business_name")))
+
+
+@query(f"""
+WITH a AS (SELECT s_suppkey AS org, {_TOKENS.format("s_name", list(vocab.AD_STOP))} AS tokens FROM supplier), b AS (SELECT c_custkey AS uuid, {_TOKENS.format("replace(c_name, 'Customer', 'Supplier')", list(vocab.AD_STOP))} AS has FROM customer)
+SELECT DISTINCT org, uuid FROM a JOIN b ON len(list_filter(tokens, lambda x: NOT list_contains(has, x))) = 0
+WHERE len(list_filter(tokens, lambda x: length(x) >= 5 AND NOT list_contains({list(dict.fromkeys(vocab.AD_GENERIC))}, x) AND NOT regexp_matches(x, '^[0-9]+$'))) > 0""")
+def token_containment_join(spark: SparkSession, d: str) -> DataFrame:
+    left = table(spark, d, "supplier").select(F.col("s_suppkey").alias("org"), F.col("s_name").alias("name"))
+    return resolve.contained_names(left, table(spark, d, "customer").select(F.col("c_custkey").alias("uuid"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("business_name")))
+
+
+@query("""
+SELECT DISTINCT l_orderkey AS uuid, l_suppkey AS employer_orgnr, l_orderkey % 100 AS org, CASE WHEN l_suppkey = l_orderkey % 100 THEN 'exact_organisation_number' WHEN s_suppkey IS NOT NULL THEN 'registered_subunit' END AS matched_via,
+       CASE WHEN l_suppkey <> l_orderkey % 100 AND s_suppkey IS NULL THEN 'employer organisation number differs' END AS reason
+FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = l_orderkey % 100""")
+def exact_gate_semi_reject(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("uuid"), F.col("l_suppkey").alias("employer_orgnr"), (F.col("l_orderkey") % 100).alias("org")).distinct()
+    units = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("org"), F.col("s_suppkey").alias("unit"))
+    return resolve.employer_gate(jobs, units)
+
+
+@query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS INTEGER) AS rank FROM events) WHERE rank <= 4")
+def topk_per_entity(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    return claims.top_per_key(e, ["user_id"], [F.col("value").desc(), F.col("event_id").desc()], 4).drop("value")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag, (CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000 + ascii(l_returnflag) AS pos FROM lineitem),
+g AS (SELECT l_orderkey, arg_min(l_returnflag, pos) AS flag, min(pos) AS pos, list(CAST(l_suppkey AS VARCHAR) ORDER BY pos) AS every FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, flag, pos, array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i), ',') AS evidence FROM g""")
+def merge_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    pos = (F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_suppkey")) * 1000 + F.ascii("l_returnflag")
+    rows = table(spark, d, "lineitem").select("l_orderkey", pos.alias("pos"), F.col("l_returnflag").alias("flag"), F.array(F.col("l_suppkey").cast("string")).alias("evidence_ids")).distinct()
+    return claims.merge_duplicates(rows, ["l_orderkey"]).select("l_orderkey", "flag", "pos", F.array_join("evidence_ids", ",").alias("evidence"))
+
+
+# pages
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, split_part(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '.', 1) AS label FROM pages)
+SELECT page_id, label, CASE WHEN contains(lower(title), label) AND length(label) >= 4 THEN 'named' ELSE 'other' END AS rung FROM p""")
+def identity_score_ladder(spark: SparkSession, d: str) -> DataFrame:
+    label = F.split_part(url.host(F.col("url")), F.lit("."), F.lit(1))
+    named = F.contains(F.lower(html.title(F.col("html"))), label) & (F.length(label) >= 4)
+    return table(spark, d, "pages").select("page_id", label.alias("label"), F.when(named, "named").otherwise("other").alias("rung"))
+
+
+_PATH = "lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1))"
+
+
+@query(f"""
+SELECT page_id, CASE WHEN {" WHEN ".join("(" + " OR ".join(f"contains({_PATH}, '{t}')" for t in terms) + f") THEN '{cat}'" for cat, terms in vocab.PAGE_WORDS.items())} END AS category,
+       len(list_filter(string_split({_PATH}, '/'), lambda x: x <> '')) = 0 OR regexp_matches(list_filter(string_split({_PATH}, '/'), lambda x: x <> '')[-1], '{vocab.STATIC_SLUG}') AS static FROM pages""")
+def page_category(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", url.page_category(F.col("url")).alias("category"), url.is_static_page(F.col("url")).alias("static"))
+
+
+@query(r"""
+WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages), u AS (SELECT page_id, unnest(hs) AS href, unnest(range(len(hs))) AS pos FROM l)
+SELECT page_id, href, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(href), pos) AS k FROM u) WHERE k <= 5""")
+def page_links_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(html.hrefs(F.col("html"))).alias("pos", "href"))
+    return claims.top_per_key(rows, ["page_id"], [F.length("href"), F.col("pos")], 5).drop("rank")
+
+
+_STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, sha256({_STRIP}) AS text_sha256, length({_STRIP}) AS chars FROM pages")
+def html_title_text(spark: SparkSession, d: str) -> DataFrame:
+    body = html.strip_tags(F.col("html"))
+    return table(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.sha2(body, 256).alias("text_sha256"), F.length(body).cast("long").alias("chars"))
+
+
+@query(f"SELECT page_id, length({_STRIP}) < 100 AND len(regexp_extract_all(html, '(?i)<script[^>]*\\ssrc\\s*=')) >= 2 AS needs_script, length({_STRIP}) < 400 AS short FROM pages")
+def boilerplate_short_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", html.needs_script(F.col("html")).alias("needs_script"), (F.length(html.strip_tags(F.col("html"))) < 400).alias("short"))
+
+
+@query(r"""
+SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS page_key,
+       regexp_extract(url, '^([a-z]+)://', 1) || '://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS homepage FROM pages""")
+def url_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", url.page_key(F.col("url")).alias("page_key"), url.normalize_homepage(F.col("url")).alias("homepage"))
+
+
+@query(rf"""
+WITH x AS (SELECT d.doc_id, list_filter(regexp_extract_all(lower(d.source), '[a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({list(vocab.SEARCH_GENERIC)}, t)) AS core, lower(d.source) || ' site' AS title, 'https://' || lower(d.source) || '.example/' AS url, d.doc_id % 4 AS q FROM documents d)
+SELECT doc_id, (CASE WHEN q < 2 THEN 45 ELSE 25 END + CASE WHEN q % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN q = 0 THEN 10 ELSE 0 END) / 100 AS score FROM x""")
+def search_candidate_score(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("doc_id") % 4
+    x = table(spark, d, "documents").select("doc_id", F.col("source").alias("name"), F.when(q < 2, F.concat("source", F.lit(" site"))).otherwise("site").alias("title"), F.when(q % 2 == 0, F.concat(F.lit("https://"), "source", F.lit(".example/"))).otherwise("https://other.example/").alias("url"), F.when(q == 0, "in Oslo").when(q > 1, F.col("source")).otherwise("none").alias("snippet"))
+    s = resolve.search_score(F.col("name"), F.lit(""), F.lit("Oslo"), F.col("url"), F.col("title"), F.col("snippet"))
+    return x.select("doc_id", s["score"].alias("score"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS node, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+w AS (SELECT node AS ancestor, node, 0 AS level FROM t WHERE parent IS NULL UNION ALL SELECT w.ancestor, t.node, w.level + 1 FROM w JOIN t ON t.parent = w.node)
+SELECT ancestor, node, level FROM w WHERE level > 0""")
+def group_edges_recursive(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    regions = table(spark, d, "region").select(name("r", "r_regionkey").alias("node"))
+    tree = table(spark, d, "nation").select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("node")).unionByName(table(spark, d, "supplier").select(name("n", "s_nationkey").alias("parent"), name("s", "s_suppkey").alias("node")))
+    return claims.group_edges(tree, regions)
+
+
+@query()
+def events_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The last event per user through a stream of files and versions of a state table."""
+    import uuid
+
+    from claimloom.streaming import changelog
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    work = f"{base}/claimloom-stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    table(spark, d, "events").write.parquet(f"{work}/in")
+    changelog.upsert(changelog.read_feed(spark, f"{work}/in", schema), f"{work}/state", ["user_id"], ["ts", "event_id"], f"{work}/checkpoint").awaitTermination()
+    versions = spark.read.json(f"{work}/state-status").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{work}/state/version={versions}").select("user_id", "event_id", "event_type", "value")
