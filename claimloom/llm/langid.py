@@ -131,14 +131,16 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def value_table(column: str, out: str) -> DataFrame:
         """P(value | language) of each value: one row per value."""
-        seen = first.filter(F.col(column).isNotNull()).groupBy(column).agg(*sums("_v"))
+        seen = materialise(first.filter(F.col(column).isNotNull()).groupBy(column).agg(*sums("_v")))
         total, values = totals(seen, "_v"), seen.count()
         shares = [F.log((F.col(f"_v{k}") + VALUE_PRIOR) / F.lit(t + VALUE_PRIOR * (values + 1))) for k, t in enumerate(total)]
         return seen.select(column, F.array(*shares).alias(out))
 
     hosts = first.filter(F.col("_host").isNotNull()).groupBy("_host", "_domain").agg(*sums("_h"))
     domains = hosts.groupBy("_domain").agg(*[F.sum(f"_h{k}").alias(f"_d{k}") for k in range(len(langs))])
-    hosts = hosts.join(domains, hosts["_domain"].eqNullSafe(domains["_domain"])).select("_host", vector("_h").alias("_hosts"), vector("_d").alias("_domains"))
+    hosts = hosts.join(domains, hosts["_domain"].eqNullSafe(domains["_domain"]))
+    # as a table: a join of two scans can be split where one host holds a third of the rows
+    hosts = materialise(hosts.select("_host", vector("_h").alias("_hosts"), vector("_d").alias("_domains")))
     out = first.join(value_table("_declared", "_by_declared"), "_declared", "left").join(value_table("_suffix", "_by_suffix"), "_suffix", "left")
     whole = totals(first.select(*[p.alias(f"_a{k}") for k, p in enumerate(parts)]), "_a")
     out = out.join(hosts, "_host", "left").withColumn("_all", F.array(*map(F.lit, whole)))
