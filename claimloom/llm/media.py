@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import materialise
+
 #: Samples in a row of the image; payloads are padded to whole rows with PAD.
 WIDTH = 576
 PAD = 255
@@ -186,6 +188,7 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
     """Every document resolved to the facts of its image; equal texts share one media row."""
     facts = media_facts(store_texts(docs))
     names = [c for c in facts.columns if c != "digest"]
-    distinct = facts.groupBy("digest").agg(*[F.max(c).alias(c) for c in names])
+    # as a table: a join of two scans can be split where one text holds a third of the rows
+    distinct = materialise(facts.groupBy("digest").agg(*[F.max(c).alias(c) for c in names]))
     found = resolve(sequences(text_pages(docs), "doc_id", "html"), distinct)
     return found.select(F.col("id").alias("doc_id"), *names, F.col("pos").alias("position"), "caption")
