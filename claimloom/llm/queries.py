@@ -59,7 +59,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host, path = urlfilter.host_path("url")
     listed = pages.select(host.alias("host"), path.alias("path")).filter(F.col("host").rlike(r"(^|\.)ads[.-]")).select(urlfilter.canonical(F.col("host"), F.col("path")))
-    return urlfilter.judge(pages, listed)
+    return urlfilter.judge(pages, listed).drop("possible")
 
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_chat, op3_media, op4_ann, op5_langid, op6_toxicity, op7_linededup, op8_packing, op9_simhash, op10_urls)}
