@@ -46,13 +46,18 @@ def merge_duplicates(claims: DataFrame, keys: list[str], pos: str = "pos", evide
     return out.select(*keys, "_first.*", F.array_distinct(F.flatten(F.transform("_parts", lambda p: p[evidence]))).alias(evidence))
 
 
-def aliases(claims: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Claims and, for each whose field is a key here, a second claim under the other field that names the first."""
-    twins = claims.filter(F.col("field").isin(*fields)).withColumn("alias_of", F.col("claim_id"))
-    other = F.lit(None).cast("string")
-    for a, b in fields.items():
-        other = F.when(F.col("field") == a, b).otherwise(other)
-    return claims.withColumn("alias_of", F.lit(None).cast("string")).unionByName(identify(twins.withColumn("field", other)))
+def build(rows: DataFrame, org: str, family: str, field: str | dict[str, str | None], value: Column, identity: Column, *carried: str) -> DataFrame:
+    """Claims of one kind from rows: identified by ``identity`` (text, or an array of texts), whatever their value.
+
+    field: a name, or names with the name of the field that each is an alias of. An alias is the same fact under a second name.
+    """
+    names = field if isinstance(field, dict) else {field: None}
+    kinds = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(a).cast("string").alias("alias_of")) for n, a in names.items()])
+    rows = rows.select(F.col(org).cast("string").alias("org"), F.lit(family).alias("family"), value.alias("value"), identity.alias("identity"), *carried).filter(present(F.col("value")))
+    kind = {f.name: f.dataType for f in rows.schema.fields}
+    rows = rows.withColumns({c: ids.canonical(F.col(b), kind[b]) for c, b in (("value_json", "value"), ("identity_json", "identity"))})
+    rows = rows.withColumn("kind", F.explode(kinds)).select("org", "family", "kind.field", "kind.alias_of", "value_json", "identity_json", *carried)
+    return identify(rows, "identity_json").drop("identity_json")
 
 
 def record_state(status: Column, note: Column) -> Column:

@@ -80,3 +80,22 @@ def only_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys in one table only, with the side."""
     a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
     return a.join(b, keys, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("right")))
+
+
+def request_counts(log: DataFrame, hosts: int = 15) -> DataFrame:
+    """Requests by purpose, and by host for the busiest hosts. log: purpose, host."""
+    by = lambda c: log.groupBy(F.lit(c).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
+    return by("purpose").unionByName(by("host").orderBy(F.col("n").desc(), "name").limit(hosts))
+
+
+def differing_fields(diff: DataFrame, key: str) -> DataFrame:
+    """Of leaves that differ (key, path, before, after): records by path, most first by count, with the first example."""
+    return diff.groupBy("path").agg(F.countDistinct(key).alias("records"), F.min_by(F.struct(key, "before", "after"), key).alias("example"))
+
+
+def overlap(ours: DataFrame, reference: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Every key of either side as agreed, disagreed, missing or extra."""
+    a, b = ours.select(*keys, F.col(value).alias("ours")).distinct(), reference.select(*keys, F.col(value).alias("theirs")).distinct()
+    both = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), keys, "full_outer")
+    kind = F.when(F.col("_a").isNull(), "missing").when(F.col("_b").isNull(), "extra").when(F.col("ours").eqNullSafe(F.col("theirs")), "agreed").otherwise("disagreed")
+    return both.withColumn("kind", kind).drop("_a", "_b")

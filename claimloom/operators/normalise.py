@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions import tree, vocab
+from claimloom.operators.claims import latest_per_key, top_per_key
+
 ADDRESS = "struct<adresse:array<string>,postnummer:string,poststed:string,kommune:string,land:string>"
 CODED = "struct<kode:string,beskrivelse:string>"
 ENTITY = f"""struct<organisasjonsnummer:string,navn:string,organisasjonsform:{CODED},antallAnsatte:int,harRegistrertAntallAnsatte:boolean,
@@ -92,3 +95,45 @@ def overlay(base: DataFrame, live: DataFrame, key: str) -> DataFrame:
     out = base.alias("b").join(live.alias("v"), key, "left")
     pick = lambda c: F.coalesce(F.when(F.col(f"v.{c}").cast("string") != "", F.col(f"v.{c}")), F.col(f"b.{c}")).alias(c) if c in shared else F.col(f"b.{c}")
     return out.select(key, *[pick(c) for c in base.columns if c != key])
+
+
+def locations(raw: DataFrame, org: str, body: str = "body") -> DataFrame:
+    """A row per registered workplace; the visiting address before the postal one."""
+    unit = f"struct<organisasjonsnummer:string,navn:string,beliggenhetsadresse:{ADDRESS},postadresse:{ADDRESS},naeringskode1:{CODED},antallAnsatte:long>"
+    rows = raw.select(org, F.posexplode(F.from_json(body, f"struct<_embedded:struct<underenheter:array<{unit}>>>")["_embedded"]["underenheter"]).alias("pos", "u"))
+    place = F.coalesce("u.beliggenhetsadresse", "u.postadresse")
+    return rows.select(
+        org, "pos", F.col("u.organisasjonsnummer").alias("organisation_number"), F.col("u.navn").alias("name"), address(place).alias("address"), place["kommune"].alias("municipality"),
+        F.col("u.naeringskode1.beskrivelse").alias("industry"), F.col("u.antallAnsatte").alias("registered_employees"),
+    )
+
+
+def group_links(raw: DataFrame, org: str, body: str = "body", most: int = 200) -> DataFrame:
+    """Parents and subsidiaries of each company in its group's tree, at any depth; of links named twice the last counts."""
+    node = "struct<organisasjonsnummer:string,navn:string,parentOrganisasjonsnummer:string,parentNavn:string,grunnlag:string,knytningsform:struct<beskrivelse:string>,dato:string>"
+    rows = raw.select(F.col(org).alias("org"), F.posexplode(tree.objects_with(F.col(body), "parentOrganisasjonsnummer")).alias("pos", "j")).withColumn("e", F.from_json("j", node))
+    child, parent = F.col("e.organisasjonsnummer"), F.col("e.parentOrganisasjonsnummer")
+    rows = rows.filter((child != "") & (parent != "") & ((child == F.col("org")) | (parent == F.col("org"))))
+    up = child == F.col("org")
+    links = rows.select(
+        "org", "pos", F.when(up, "parent").otherwise("subsidiary").alias("relation"), F.when(up, parent).otherwise(child).alias("organisation_number"),
+        F.when(up, F.col("e.parentNavn")).otherwise(F.col("e.navn")).alias("name"), F.col("e.grunnlag").alias("ownership_basis"), F.col("e.knytningsform.beskrivelse").alias("link_type"), F.col("e.dato").alias("as_of"),
+    )
+    links = latest_per_key(links, ["org", "relation", "organisation_number"], ["pos"]).drop("pos")
+    return top_per_key(links, ["org"], [F.col("relation"), F.col("organisation_number")], most)
+
+
+def role_events(raw: DataFrame, org: str, body: str = "body") -> DataFrame:
+    """The distinct dates, ascending, on which a company's roles were updated."""
+    times = F.filter(F.from_json(body, "array<struct<time:string>>"), lambda e: F.coalesce(e["time"], F.lit("")) != "")
+    dates = F.array_sort(F.array_distinct(F.transform(times, lambda e: F.left(e["time"], F.lit(10)))))
+    return raw.select(org, F.coalesce(dates, F.array().cast("array<string>")).alias("role_change_dates"))
+
+
+def accounting_obligation(legal_form: Column, latest_accounts: Column) -> Column:
+    """Which rule on annual accounts applies; a form that the rule does not settle is left to review."""
+    form = F.upper(F.coalesce(legal_form, F.lit("")))
+    return (
+        F.when(F.coalesce(latest_accounts, F.lit("")) != "", "filing_observed").when(form.isin(*vocab.ALWAYS_OBLIGED_FORMS), "required_by_legal_form")
+        .when(form.isin(*vocab.THRESHOLD_FORMS), "threshold_or_activity_dependent").otherwise("special_rule_or_review_required")
+    )

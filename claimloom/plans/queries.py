@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import html, ids, text, url, vocab
-from claimloom.operators import claims, index, metrics, refresh, resolve
+from claimloom.operators import builders, claims, index, metrics, normalise, refresh, resolve
 from claimloom.plans import query_language
 from claimloom.session import table
 from claimloom.sources import readers
@@ -207,10 +207,10 @@ def refused_question(spark: SparkSession, d: str) -> DataFrame:
     return ask(spark, d, "companies with good reviews", "o")
 
 
-@query(f"""WITH x AS ({_INDEX}), y AS (SELECT o, r, p FROM x WHERE o IN ('1', '2', '3', '4'))
-SELECT o, r, p, coalesce(r = max(r) OVER (), false) AS r_is_max, coalesce(p = max(p) OVER (), false) AS p_is_max FROM y""")
+@query(f"""WITH x AS ({_INDEX})
+SELECT o, r, p, coalesce(r = max(r) OVER (), false) AS r_is_max, coalesce(p = max(p) OVER (), false) AS p_is_max FROM x""")
 def compare_entities_max(spark: SparkSession, d: str) -> DataFrame:
-    return index.compare(small_index(spark, d).filter(F.col("o").isin("1", "2", "3", "4")).select("o", "r", "p"), ["r", "p"])
+    return index.compare(small_index(spark, d).select("o", "r", "p"), ["r", "p"])
 
 
 @query(f"""WITH x AS ({_INDEX}), s AS (
@@ -416,11 +416,14 @@ _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+')
 
 
 @query(f"""
-WITH t AS (SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: NOT list_contains({list(vocab.NAME_STOP)}, x) AND length(x) > 1), ' ') AS key FROM part)
-SELECT DISTINCT a.p_partkey AS org, b.p_partkey AS uuid FROM t a JOIN t b ON a.key = b.key AND a.key <> '' WHERE a.p_partkey % 10 = 0""")
+WITH t AS (SELECT p_partkey, p_name, array_to_string(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: NOT list_contains({list(vocab.NAME_STOP)}, x) AND length(x) > 1), ' ') AS key FROM part),
+c AS (SELECT p_name, key, min(p_partkey) AS org FROM t GROUP BY 1, 2)
+SELECT DISTINCT c.org, t.p_partkey AS uuid FROM c JOIN t ON c.key = t.key AND c.key <> ''""")
 def name_exact_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every part by the company of its name: the first part that has it."""
     p = table(spark, d, "part")
-    return resolve.exact_names(p.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("org"), F.col("p_name").alias("name")), p.select(F.col("p_partkey").alias("uuid"), F.col("p_name").alias("business_name")))
+    companies = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("org"))
+    return resolve.exact_names(companies, p.select(F.col("p_partkey").alias("uuid"), F.col("p_name").alias("business_name")))
 
 
 @query(f"""
@@ -461,13 +464,23 @@ def merge_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 # pages
 
 
-@query("""
-WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, split_part(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '.', 1) AS label FROM pages)
-SELECT page_id, label, CASE WHEN contains(lower(title), label) AND length(label) >= 4 THEN 'named' ELSE 'other' END AS rung FROM p""")
+_STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {_STRIP} AS body FROM pages),
+q AS (SELECT page_id, title, body, host, string_split(host, '.')[1] AS name, string_split(host, '.')[-2] AS label FROM p),
+r AS (SELECT page_id, name, label, list_distinct(list_filter(regexp_extract_all(name, '[a-z0-9]+'), lambda t: NOT list_contains({list(vocab.NAME_STOP)}, t) AND length(t) > 1)) AS core, list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 1) AS titled, regexp_extract_all(host, '[a-z0-9]+') AS hosted, length(trim(body)) AS chars FROM q),
+t AS (SELECT *, len(core) > 0 AND (len(list_filter(core, lambda t: NOT list_contains(titled, t))) = 0 OR len(list_filter(core, lambda t: NOT list_contains(hosted, t))) = 0) AS whole FROM r),
+u AS (SELECT page_id, name, CAST(CASE WHEN whole AND (len(core) > 1 OR chars >= 100) THEN 0.95 WHEN len(core) = 1 AND label = core[1] AND length(label) >= 5 THEN 0.93 ELSE 0.3 END AS DOUBLE) AS score FROM t)
+SELECT page_id, name, score, score >= 0.9 AS publishable FROM u""")
 def identity_score_ladder(spark: SparkSession, d: str) -> DataFrame:
-    label = F.split_part(url.host(F.col("url")), F.lit("."), F.lit(1))
-    named = F.contains(F.lower(html.title(F.col("html"))), label) & (F.length(label) >= 4)
-    return table(spark, d, "pages").select("page_id", label.alias("label"), F.when(named, "named").otherwise("other").alias("rung"))
+    """Each page as the site of the company that its host is named after; the register lists the site."""
+    p = table(spark, d, "pages").select("page_id", url.host(F.col("url")).alias("host"), html.title(F.col("html")).alias("title"), html.strip_tags(F.col("html")).alias("body"))
+    p = p.withColumn("name", F.split_part("host", F.lit("."), F.lit(1)))
+    got = resolve.website_identity(F.col("name"), F.lit(""), F.col("title"), F.col("body"), F.col("host"), F.array().cast("array<string>"), F.lit(True))
+    return p.select("page_id", "name", got["score"].cast("double").alias("score"), got["publishable"].alias("publishable"))
 
 
 _PATH = "lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1))"
@@ -488,9 +501,6 @@ def page_links_topk(spark: SparkSession, d: str) -> DataFrame:
     return claims.top_per_key(rows, ["page_id"], [F.length("href"), F.col("pos")], 5).drop("rank")
 
 
-_STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
-
-
 @query(f"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, sha256({_STRIP}) AS text_sha256, length({_STRIP}) AS chars FROM pages")
 def html_title_text(spark: SparkSession, d: str) -> DataFrame:
     body = html.strip_tags(F.col("html"))
@@ -530,6 +540,78 @@ def group_edges_recursive(spark: SparkSession, d: str) -> DataFrame:
     return claims.group_edges(tree, regions)
 
 
+@query("SELECT user_id AS org, list_sort(list_distinct(list(CAST(CAST(ts AS DATE) AS VARCHAR)))) AS dates FROM events GROUP BY user_id")
+def role_event_dates(spark: SparkSession, d: str) -> DataFrame:
+    """The dates of each user's events through the role-update log of JSON bodies."""
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("org"), F.date_format("ts", "yyyy-MM-dd").alias("time")).agg(F.first(F.lit(1)))
+    logs = e.groupBy("org").agg(F.to_json(F.collect_list(F.struct("time"))).alias("body"))
+    return normalise.role_events(logs, "org").select("org", F.col("role_change_dates").alias("dates"))
+
+
+@query(f"""
+SELECT c_custkey, CASE WHEN n > 0 THEN 'filing_observed' WHEN c_custkey % 3 = 0 THEN 'required_by_legal_form' WHEN c_custkey % 3 = 1 THEN 'threshold_or_activity_dependent' ELSE 'special_rule_or_review_required' END AS rule
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey""")
+def accounting_rule(spark: SparkSession, d: str) -> DataFrame:
+    form = F.element_at(F.array(F.lit("as"), F.lit("ENK"), F.lit("PERS")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    filed = table(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.max(F.year("o_orderdate")).cast("string").alias("year"))
+    c = table(spark, d, "customer").join(filed, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select("c_custkey", normalise.accounting_obligation(form, F.col("year")).alias("rule"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS org, s_name FROM supplier),
+r AS (SELECT org, CASE s_suppkey % 4 WHEN 0 THEN 'auditor' WHEN 1 THEN 'accountant' ELSE 'role' END AS field, ['REVI', 'REGN', 'DAGL', 'MEDL'][1 + s_suppkey % 4] AS code, s_name FROM s WHERE s_suppkey % 5 <> 0)
+SELECT org, field, code AS role_code, 'cl-' || left(sha256(org || '|leadership|' || field || '|["' || lower(code) || '", "' || lower(s_name) || '", null]'), 16) AS claim_id FROM r""")
+def leadership_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as holders of roles in the company of their nation; every fifth role is inactive."""
+    k, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    code = F.element_at(F.array(*map(F.lit, ("REVI", "REGN", "DAGL", "MEDL"))), (k % 4 + 1).cast("int"))
+    roles = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("org"), code.alias("role"), code.alias("role_code"), F.col("s_name").alias("name"), none.alias("organisation_number"), none.alias("group_last_changed"), (k % 5 == 0).alias("inactive"))
+    return builders.leadership(roles).select("org", "field", "role_code", "claim_id")
+
+
+@query("""
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS org, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'O')
+SELECT org, 'jobs' AS family, 'open_job' AS field, CAST(NULL AS VARCHAR) AS alias_of, org || '|jobs|open_job|["nav", "' || id || '"]' AS claim_key, CAST(day AS VARCHAR) AS effective_date FROM o
+UNION ALL SELECT org, 'jobs', 'hiring_signal', 'open_job', org || '|jobs|hiring_signal|["job_ad", "' || id || '"]', CAST(day AS VARCHAR) FROM o
+UNION ALL SELECT org, 'dated_activity', 'job_posted', NULL, org || '|dated_activity|job_posted|["job_posted", "' || id || '"]', CAST(day AS VARCHAR) FROM o
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'dated_activity', 'annual_accounts_filed', NULL, c_custkey || '|dated_activity|annual_accounts_filed|["annual_accounts_filed", "2024"]', NULL FROM customer""")
+def activity_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Open orders as job ads, and a filing of every customer."""
+    key = F.col("o_orderkey").cast("string")
+    jobs = table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").cast("string").alias("org"), key.alias("uuid"), F.col("o_orderpriority").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published"), F.concat(F.lit("https://ads.example/"), key).alias("public_url"))
+    filings = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("org"), F.lit("2024").alias("year"))
+    none = spark.createDataFrame([], "org string, role_change_dates array<string>")
+    return builders.activity(jobs, none, filings).select("org", "family", "field", "alias_of", "claim_key", "effective_date")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS org, ['listed', 'guess', 'search'][1 + l_suppkey % 3] AS way, l_linenumber AS rank, CAST(l_partkey AS VARCHAR) AS url, l_returnflag = 'R' AS good FROM lineitem),
+t AS (SELECT *, row_number() OVER (PARTITION BY org, way ORDER BY rank, url) AS k FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY list_position(['listed', 'guess', 'search'], way), rank, url) AS n FROM t WHERE good AND k <= CASE way WHEN 'listed' THEN 1 ELSE 2 END)
+SELECT org, way, url FROM f WHERE n = 1""")
+def discover_first_success(spark: SparkSession, d: str) -> DataFrame:
+    way = F.element_at(F.array(F.lit("listed"), F.lit("guess"), F.lit("search")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("org"), way.alias("way"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").cast("string").alias("url"), (F.col("l_returnflag") == "R").alias("publishable"))
+    return resolve.discover(found, {"listed": 1, "guess": 2, "search": 2}, ("listed", "guess", "search")).select("org", "way", "url")
+
+
+@query("""
+SELECT * FROM (SELECT 'purpose' AS kind, event_type AS name, count(*) AS n FROM events GROUP BY 2)
+UNION ALL SELECT * FROM (SELECT 'host', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 15)""")
+def budget_counters(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.request_counts(table(spark, d, "events").select(F.col("event_type").alias("purpose"), F.col("user_id").cast("string").alias("host")))
+
+
+@query("""
+WITH a AS (SELECT s_suppkey AS k, round(s_acctbal) AS v FROM supplier WHERE s_suppkey % 4 <> 0), b AS (SELECT s_suppkey AS k, round(s_acctbal) + s_suppkey % 2 AS v FROM supplier WHERE s_suppkey % 3 <> 0)
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL THEN 'missing' WHEN b.k IS NULL THEN 'extra' WHEN a.v = b.v THEN 'agreed' ELSE 'disagreed' END AS kind FROM a FULL JOIN b ON a.k = b.k) GROUP BY 1""")
+def reference_overlap(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.round("s_acctbal").alias("v"))
+    got = metrics.overlap(k.filter("k % 4 <> 0"), k.filter("k % 3 <> 0").withColumn("v", F.col("v") + F.col("k") % 2), ["k"], "v")
+    return got.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query()
 def events_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last event per user through a stream of files and versions of a state table."""
