@@ -58,7 +58,8 @@ def links(found: DataFrame) -> DataFrame:
     key = ["_finger", "_key"]
     place = F.struct(*DOC, "_at", "_no")
     firsts = found.groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_places")).filter("_places > 1").drop("_places")
-    met = found.join(firsts, key).filter(~place.eqNullSafe(F.col("_first")))
+    # as a table: a join of two scans can be split where one passage is in a third of the documents
+    met = found.join(materialise(firsts), key).filter(~place.eqNullSafe(F.col("_first")))
     return met.select(*DOC, "_no", "_at", "_end", "_n", "_first")
 
 
