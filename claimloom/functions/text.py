@@ -60,7 +60,7 @@ def norm(c: Column) -> Column:
 
 def clip(c: Column, n: int = 300) -> Column:
     c = F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.rtrim(F.left(c, F.lit(n - 1))), F.lit("…")))
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.left(c, F.lit(n - 1)), F.lit("…")))
 
 
 def digits(c: Column) -> Column:
@@ -84,5 +84,25 @@ def iso_date(c: Column, as_of: Column) -> Column:
 
 def rfc822_date(c: Column, as_of: Column) -> Column:
     """Date of an RSS pubDate; the weekday is dropped before parsing."""
-    t = F.try_to_timestamp(F.regexp_replace(c, r"^\s*[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss xx"))
-    return F.when(F.to_date(t) <= F.date_add(as_of, 1), F.date_format(t, "yyyy-MM-dd"))
+    d = F.try_to_date(F.left(rfc822_time(c), F.lit(10)), "yyyy-MM-dd")
+    return F.when(d <= F.date_add(as_of, 1), F.date_format(d, "yyyy-MM-dd"))
+
+
+def rfc822_time(c: Column) -> Column:
+    """An RSS pubDate as an ISO timestamp, in the zone it is written in."""
+    body = F.regexp_replace(c, r"^\s*[A-Za-z]{3},\s*", "")
+    zone = F.regexp_extract(body, r"([+-]\d{2}):?(\d{2})\s*$", 1)
+    minutes = F.regexp_extract(body, r"([+-]\d{2}):?(\d{2})\s*$", 2)
+    local = F.try_to_timestamp(F.regexp_replace(body, r"\s*(?:[+-]\d{2}:?\d{2}|GMT|UTC|UT|Z)\s*$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.when(zone == "", "+00:00").otherwise(F.concat(zone, F.lit(":"), minutes)))
+
+
+def published_at(c: Column, as_of: Column) -> Column:
+    """A timestamp exactly as written, if it states a time of day and a date that counts."""
+    t = F.trim(c)
+    return F.when(t.rlike(r"^20\d{2}-\d{2}-\d{2}[T ]\d{2}:\d{2}") & iso_date(t, as_of).isNotNull(), t)
+
+
+def person(parts: Column) -> Column:
+    """A name as a key: its parts joined, in lower case."""
+    return F.lower(F.array_join(parts, " "))
