@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions import html, ids, text, url, vocab
+from claimloom.functions import html, ids, quotes, text, url, vocab
 from claimloom.operators import builders, claims, index, metrics, normalise, refresh, resolve
 from claimloom.plans import query_language
 from claimloom.session import table
@@ -612,6 +612,54 @@ def reference_overlap(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+# quotes, feeds and links
+
+
+@query("""
+SELECT event_id, '"k": ' || (event_id % 100) AS said, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) = event_id % 100, false) AS exact FROM events""")
+def json_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each event that say its k is the one looked for, else a rendering of that."""
+    said = quotes.quote_json(F.col("props"), "k", (F.col("event_id") % 100).cast("string"))
+    return table(spark, d, "events").select("event_id", said.alias("q")).select("event_id", F.col("q.text").alias("said"), F.col("q.exact").alias("exact"))
+
+
+@query("""
+SELECT k AS value, count(*) AS events, min(said) AS said FROM (
+  SELECT json_extract_string(props, '$.k') AS k, '"k": "' || json_extract_string(props, '$.k') || '"' AS said FROM events) WHERE k IS NOT NULL GROUP BY k""")
+def quote_index(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of k as text, with the first words of an event that say it."""
+    body = F.regexp_replace("props", r'"k": ([0-9]+)', '"k": "$1"').alias("body")
+    found = quotes.index_quotes(table(spark, d, "events").select("event_id", body), ["event_id"], "body", "k")
+    return found.groupBy("value").agg(F.count("*").alias("events"), F.min("quote").alias("said"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS custkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) - 1 AS pos FROM orders)
+SELECT custkey, CAST(pos AS INTEGER) AS pos, date, 'Order & ' || o_orderkey AS title, 'https://shop.no/news/' || o_orderkey AS url,
+       CASE WHEN custkey % 2 = 0 THEN 'rss:item/pubDate' ELSE 'atom:entry/published' END AS locator
+FROM o WHERE pos < 12""")
+def feed_posts(spark: SparkSession, d: str) -> DataFrame:
+    """A feed for each customer, RSS or Atom, and its twelve newest posts."""
+    key = F.col("o_orderkey").cast("string")
+    rss = F.concat(F.lit("<item><title>Order &amp; "), key, F.lit("</title><link>../news/"), key, F.lit("#top</link><pubDate>"), F.date_format("o_orderdate", "EEE, dd MMM yyyy"), F.lit(" 10:00:00 +0100</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><title><![CDATA[Order & "), key, F.lit("]]></title><link rel='alternate' href='/news/"), key, F.lit("'/><updated>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T10:00:00Z</updated></entry>"))
+    post = F.struct("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, rss).otherwise(atom).alias("post"))
+    feeds = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.array_join(F.array_sort(F.collect_list(post))["post"], "").alias("xml"))
+    items = html.feed_items(F.concat(F.lit("<feed>"), "xml", F.lit("</feed>")), F.lit("2100-01-01").cast("date"), F.lit("https://shop.no/feeds/all"))
+    return feeds.select("custkey", F.posexplode(items).alias("pos", "i")).select("custkey", "pos", "i.date", "i.title", "i.url", "i.locator")
+
+
+@query("""
+SELECT c_custkey AS k, 'https://x.no' || CASE c_custkey % 6 WHEN 0 THEN '/a/u' WHEN 1 THEN '/a/b/u' WHEN 2 THEN '/u' WHEN 3 THEN '/u' WHEN 4 THEN '/a/u' ELSE '/a/b/c?u' END || c_custkey AS url
+FROM customer""")
+def link_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Links that climb, stay or start at the root, as the page that holds them means them."""
+    forms = F.array(*map(F.lit, ("../u", "./u", "/u", "../../../u", "x/../../u", "?u")))
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("k"), url.absolute(F.lit("https://x.no/a/b/c"), F.concat(F.element_at(forms, (k % 6 + 1).cast("int")), k.cast("string"))).alias("url"))
+
+
 @query()
 def events_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last event per user through a stream of files and versions of a state table."""
