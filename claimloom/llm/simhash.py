@@ -11,7 +11,8 @@ collected. Fingerprints stand for all their documents, so hot groups of copies a
 
 Defined cases: texts of less than SHINGLE words are one shingle; texts without words, and null texts, have fingerprint 0
 and are linked like others; null ids never are a component's smallest id unless it has no other; repeated rows are rows of
-one component; an empty table gives no rows; other columns are left out by components() and kept by keep_one().
+one component; an empty table gives no rows; other columns are left out by components() and kept by keep_one(), which
+keeps a document of every component, also where ids are null or come with several texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from claimloom.llm.common import materialise
+from claimloom.llm.common import materialise, nullable_key
 
 SHINGLE = 3
 SEED = 42
@@ -86,12 +87,16 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """nodes (fp, least) with root, the least fingerprint of their component."""
+    roots = connected(ball_links(nodes))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row."""
     marked = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.coalesce(text_col, F.lit(""))).alias("fp")))
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(ball_links(nodes))
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = rooted(materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     known = materialise(labelled.join(ids, "root").select("fp", "component_id"))
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
@@ -102,8 +107,15 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The document of each component with its smallest id (of rows that repeat this id, one)."""
-    heads = components(docs, id_col=id_col).select(F.col("component_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component: that with the smallest id, null last; of texts of one id that with the least digest.
+
+    Documents are told apart by a digest of id and text, so null ids and ids that come with several texts are documents of
+    their own; of rows that repeat both, one stays.
+    """
+    own = F.unhex(F.sha2(F.concat(F.sha2(nullable_key(id_col), 256), nullable_key(text_col)), 256))
+    marked = materialise(docs.select(F.col(id_col).alias("_id"), own.alias("_own"), fingerprints(F.coalesce(text_col, F.lit(""))).alias("fp")))
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_own"))
+    labelled = rooted(materialise(marked.groupBy("fp").agg(least.alias("least"))))
+    heads = labelled.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._own").alias("_own"))
+    return docs.withColumn("_own", own).join(heads, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")

@@ -430,6 +430,17 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.report(docs.limit(0)).count() == 0
 
 
+def test_keep_one_leaves_a_document_of_every_component(spark):
+    rng = np.random.default_rng(10)
+    t = [prose(rng, 80, 5000) for _ in range(8)]
+    rows = [(None, x, "s") for x in t[:5]]  # different documents without an id
+    rows += [(None, t[0], "s"), (9, t[1], "s"), (9, t[5], "s"), (9, t[6], "s"), (8, t[6], "s"), (8, t[6], "s"), (9, None, "s"), (9, "", "s")]
+    want = [(9, t[1]), (9, t[5]), (8, t[6]), *((None, t[k]) for k in (0, 2, 3, 4))]
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs_of(spark, rows).withColumn("least", F.lit("clash"))).collect()]
+    assert sorted(map(str, (x for x in got if x[1]))) == sorted(map(str, want))
+    assert [i for i, x in got if not x] == [9]  # null and empty texts are one component
+
+
 def test_ball_links_and_long_chains(spark):
     rng = np.random.default_rng(7)
     fps = {0, -1, 1 << 62, -(1 << 63)}
