@@ -10,6 +10,9 @@ before and after are equal (by less than MIN_WORDS words: beyond that another wi
 by such runs are later repeats and are deleted. Only ids, positions and hashes are shuffled until the texts are joined with
 what is to be cut from them, once.
 
+With all_places, as in op7_linededup and the pipeline, runs that continue at other earlier places than the first are whole
+too: windows are also taken up to each line, not only from each line on, and nothing needs extending.
+
 A line that is deleted has an equal line at an earlier place, and the earliest place of a line is never deleted, so every
 line of the corpus survives somewhere. Places are in order of doc_id, then of the text's hash, then of the line.
 
@@ -101,7 +104,39 @@ def repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     after = lambda c: F.slice(c, F.col("_n"), F.greatest(F.size(c) - F.col("_n") + 1, F.lit(0)))
     left = F.when(~F.col("_came_on"), _reach(F.col("_left2"), F.col("_left1")))
     right = F.when(~F.col("_goes_on"), _reach(after("_right2"), after("_right1")))
-    runs = runs.unionByName(ends.select(*DOC, F.coalesce(left, "_at").alias("_from"), F.coalesce(right, "_end").alias("_to")))
+    return joined(runs.unionByName(ends.select(*DOC, F.coalesce(left, "_at").alias("_from"), F.coalesce(right, "_end").alias("_to"))))
+
+
+def spans(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_from, _to, _n, _head, _key: the shortest runs of min_words words that start at a line, and those that end at one."""
+    found = found.repartition(*DOC).dropDuplicates([*DOC, "_at"])
+    order = Window.partitionBy(*DOC).orderBy("_at")
+    found = found.withColumn("_stop", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_stop") - F.col("_words"))
+    ahead = Window.partitionBy(*DOC).orderBy("_start").rangeBetween(0, min_words - 1)
+    behind = Window.partitionBy(*DOC).orderBy("_stop").rangeBetween(1 - min_words, 0)
+    run = lambda over: F.struct(F.min("_at").over(over).alias("_from"), F.max("_at").over(over).alias("_to"), F.sum("_words").over(over).alias("_held"), F.collect_list("_hash").over(over).alias("_inside"))
+    found = found.select(*DOC, "_words", run(ahead).alias("_ahead"), run(behind).alias("_behind"))
+    # a run that ends here and is the shortest from its first line too is there already
+    twice = F.when(F.col("_behind._held") - F.col("_words") >= min_words, F.col("_behind"))
+    found = found.select(*DOC, F.explode(F.array("_ahead", twice)).alias("_run")).select(*DOC, "_run.*").filter(F.col("_held") >= min_words)
+    return found.select(*DOC, "_from", "_to", F.size("_inside").alias("_n"), F.element_at("_inside", 1).alias("_head"), F.xxhash64("_inside").alias("_key"))
+
+
+def all_repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_id, _doc, _from, _to as repeats(), whichever earlier place a run repeats.
+
+    A run of min_words words that an earlier place has too is made up of the shortest runs from its lines on and the
+    shortest run up to its last line, all of which lie within it: those that have an earlier place are all there is.
+    """
+    found = materialise(spans(found, min_words))
+    key, place = ["_n", "_head", "_key"], F.struct(*DOC, "_from")
+    firsts = found.groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_places")).filter("_places > 1").drop("_places")
+    # as a table: a join of two scans can be split where one passage is in a third of the documents
+    return joined(found.join(materialise(firsts), key).filter(~place.eqNullSafe(F.col("_first"))).select(*DOC, "_from", "_to"))
+
+
+def joined(runs: DataFrame) -> DataFrame:
+    """Runs joined where they touch."""
     order = Window.partitionBy(*DOC).orderBy("_from", "_to")
     reached = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.withColumn("_new", F.when(F.col("_from") <= reached + 1, 0).otherwise(1))
@@ -109,10 +144,10 @@ def repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy(*DOC, "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
-    """docs with the repeated lines deleted from the text. report: also _n_lines, _n_deleted and _runs."""
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False, all_places: bool = False) -> DataFrame:
+    """docs with the repeated lines deleted from the text. report: also _n_lines, _n_deleted and _runs. all_places: see above."""
     found = materialise(lines(docs, id_col, text_col))
-    cuts = repeats(found, min_words).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_runs"))
+    cuts = (all_repeats if all_places else repeats)(found, min_words).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_runs"))
     own = docs.withColumn("_h", F.xxhash64(text_col))
     out = own.join(cuts, own[id_col].eqNullSafe(cuts["_id"]) & (own["_h"] == cuts["_doc"]), "left").drop("_id", "_doc", "_h")
     split = F.split(F.col(text_col), "\n")

@@ -42,7 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), report=True, all_places=True)
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.size("_runs").alias("n_runs"), F.col("_runs").alias("runs"), F.length("text").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -331,6 +331,16 @@ def test_line_dedup_plain_cases(spark):
     assert linededup.dedup_lines(docs).columns == docs.columns and linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_follows_every_earlier_place(spark):
+    rng = np.random.default_rng(11)
+    a, b, c, x, y, z = (prose(rng, n) for n in (30, 30, 15, 20, 15, 20))
+    rows = [(1, f"{a}\n{b}\n{x}", "s"), (2, f"{a}\n{b}\n{c}", "s"), (3, f"{a}\n{b}\n{c}", "s"), (4, f"{z}\n{y}\n{a}\n{b}", "s"), (5, f"{y}\n{a}\n{b}", "s"), (6, f"{x}\n{y}", "s")]
+    done = linededup.dedup_lines(docs_of(spark, rows), all_places=True)
+    got = {r["doc_id"]: r["text"] for r in done.collect()}
+    assert got == {1: rows[0][1], 2: c, 3: "", 4: f"{z}\n{y}", 5: "", 6: rows[5][1]}
+    assert not re.search("Python|Pandas|Arrow", done._jdf.queryExecution().executedPlan().toString())
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = linededup.dedup_lines(docs_of(spark, [(1, "a b", "s")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
