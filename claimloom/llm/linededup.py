@@ -1,10 +1,9 @@
-"""Line dedup by winnowing, in DataFrame operations only.
+"""Line dedup by hashed windows of lines, in DataFrame operations only.
 
 The unit is a line that has a word; its hash stands for it. The windows of a document are its shortest runs of lines that
-hold MIN_WORDS words, one starting at each line, as far as the document reaches. Each window selects the line with the
-least hash as its fingerprint (the last of equals), anchored at that line's position, so any run of MIN_WORDS words that two
-places share has a fingerprint selected in both: the guarantee. Fingerprints with equal hash and equal window meet in one
-equi-join on that key, not pairwise but each with the first place that has it, so thousands of copies make thousands of
+hold MIN_WORDS words, one starting at each line, as far as the document reaches. All windows are hashed, whole: none is left
+out as winnowing would, so any run of MIN_WORDS words that two places share has a window in both. The least hash of a
+window's lines is part of its key and tells no more than the content does. Windows of equal content meet in one equi-join, not pairwise but each with the first place that has it, so thousands of copies make thousands of
 links. Links of neighbouring windows to neighbouring places are one run; its ends are extended both ways as far as the lines
 before and after are equal (by less than MIN_WORDS words: beyond that another window has its own link). All lines covered
 by such runs are later repeats and are deleted. Only ids, positions and hashes are shuffled until the texts are joined with
