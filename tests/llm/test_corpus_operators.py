@@ -265,6 +265,17 @@ def test_toxicity_is_fair_to_group_mentions():
     assert fair.score("vile w1 w2") > 0.5
 
 
+def test_toxicity_is_fair_to_group_mentions_in_each_language():
+    terms = [t for s in toxicity.IDENTITY for t in s]
+    assert len(terms) == len(set(terms))
+    for one, other in (("muslime", "christen"), ("étrangers", "immigrés"), ("judíos", "cristianos")):
+        rows = labelled(np.random.default_rng(4), 800)
+        texts, y = [r[1].replace("muslims", one) for r in rows], [r[3] for r in rows]
+        plain, fair = toxicity.fit(texts, y, 0.25, sets=()), toxicity.fit(texts, y, 0.25)
+        gap = lambda m: abs(m.score(f"{one} w1") - m.score(f"{other} w1"))
+        assert gap(plain) > 0.1 and gap(fair) < gap(plain) / 4
+
+
 # line dedup
 
 
