@@ -184,11 +184,16 @@ def text_pages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", html.alias("html"))
 
 
+def media_table(docs: DataFrame) -> DataFrame:
+    """MEDIA of the distinct texts, stored in the shared folder: one row per digest."""
+    return materialise(store_texts(docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()))
+
+
 def documents_as_media(docs: DataFrame) -> DataFrame:
-    """Every document resolved to the facts of its image; equal texts share one media row."""
-    facts = media_facts(store_texts(docs))
+    """Every document resolved to the facts of its stored image; equal texts share one media row."""
+    facts = media_facts(media_table(docs))
     names = [c for c in facts.columns if c != "digest"]
     # as a table: a join of two scans can be split where one text holds a third of the rows
-    distinct = materialise(facts.groupBy("digest").agg(*[F.max(c).alias(c) for c in names]))
+    distinct = materialise(facts)
     found = resolve(sequences(text_pages(docs), "doc_id", "html"), distinct)
     return found.select(F.col("id").alias("doc_id"), *names, F.col("pos").alias("position"), "caption")

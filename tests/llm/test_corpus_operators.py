@@ -154,6 +154,14 @@ def test_documents_as_media(spark):
         media.decode_media(media.encode_media(b"\xff" * 576)[:-1])
 
 
+def test_media_table_holds_each_payload_once(spark):
+    rows = [(1, "héllo", "s"), (2, None, "s"), (3, "", "s"), (4, "héllo", "t"), (5, "x" * 577, "s")]
+    stored = media.media_table(docs_of(spark, rows))
+    got = {r["digest"]: media.decode_media(bytes(r["media"]))[: r["n_bytes"]] for r in stored.collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest(): t.encode() for t in ("héllo", "", "x" * 577)} and stored.count() == 3
+    assert stored.inputFiles()  # read back from storage
+
+
 # nearest neighbours
 
 
