@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise
+from claimloom.llm.common import bloom_blocks, may_hold, materialise
 
 #: (verdict, host, path), matched on the host and its subdomains and on the beginning of the path.
 RULES = (
@@ -26,9 +26,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-PROBES = 5
-URLS_A_BLOCK = 4
-MAX_BLOCKS = 1 << 20
 
 def host_path(url: str | Column) -> tuple[Column, Column]:
     """Host (A-Z in lower case) and path of a URL, as written otherwise; both empty without a host part."""
@@ -39,7 +36,7 @@ def host_path(url: str | Column) -> tuple[Column, Column]:
 
 def canonical(host: Column, path: Column) -> Column:
     """The form of a URL in which it is listed: no scheme, query or fragment, no leading www. or m., no page suffix."""
-    return F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(path, r"(?:/|\.html?)+$", ""))
+    return F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(path, r"(?<!/)(?:/|\.html?)++$", ""))
 
 
 def verdict_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -51,38 +48,16 @@ def verdict_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def _mask(url: Column) -> Column:
-    """PROBES bits of a word, six bits of the hash each."""
-    h = F.xxhash64(url, F.lit("bits"))
-    word = F.lit(0).cast("long")
-    for k in range(PROBES):
-        bit = F.shiftright(h, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")
-        word = word.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    return word
-
-
-def _block(url: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int")
-
-
-def bloom(listed: DataFrame, blocks: int) -> DataFrame:
-    """block, word: the filter of the column ``listed``."""
-    return listed.groupBy(_block(F.col("listed"), blocks).alias("_block")).agg(F.bit_or(_mask(F.col("listed"))).alias("_word"))
-
-
 def judge(pages: DataFrame, listed: DataFrame, *, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict, possible (passed the filter). listed: one column of canonical URLs."""
     listed = materialise(listed.toDF("listed").filter("listed is not null").distinct())
     n = listed.count()
-    blocks = min(MAX_BLOCKS, max(1, n // URLS_A_BLOCK))
     host, path = host_path(url_col)
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, verdict = verdict_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("_verdict"), F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))).alias("_url"))
-    rows = rows.withColumn("_probe", F.when(F.col("rule").isNull(), _block(F.col("_url"), blocks)))
-    rows = rows.join(F.broadcast(bloom(listed, blocks)), F.col("_probe") == F.col("_block"), "left")  # at most MAX_BLOCKS rows
-    mask = _mask(F.col("_url"))
-    rows = rows.withColumn("possible", F.coalesce(F.col("_word").bitwiseAND(mask) == mask, F.lit(False))).drop("_word", "_block", "_probe")
+    asked = F.when(F.col("rule").isNull(), F.col("_url"))
+    rows = may_hold(rows, asked, listed, bloom_blocks(n), "possible")
     # only possible hits go through the exact join; the others, a third of which may be one host, are not shuffled
     passed = rows.filter("possible").join(listed, F.col("_url") == F.col("listed"), "left").withColumn("_listed", F.col("listed").isNotNull()).drop("listed")
     rest = rows.filter("not possible").withColumn("_listed", F.lit(False))
