@@ -1,16 +1,21 @@
-"""Line dedup by hashed windows of lines, in DataFrame operations only.
+"""Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-The unit is a line that has a word; its hash stands for it. The windows of a document are its shortest runs of lines that
-hold MIN_WORDS words, one starting at each line, as far as the document reaches. All windows are hashed, whole: none is left
-out as winnowing would, so any run of MIN_WORDS words that two places share has a window in both. The least hash of a
-window's lines is part of its key and tells no more than the content does. Windows of equal content meet in one equi-join, not pairwise but each with the first place that has it, so thousands of copies make thousands of
-links. Links of neighbouring windows to neighbouring places are one run; its ends are extended both ways as far as the lines
-before and after are equal (by less than MIN_WORDS words: beyond that another window has its own link). All lines covered
-by such runs are later repeats and are deleted. Only ids, positions and hashes are shuffled until the texts are joined with
-what is to be cut from them, once.
+The unit is a line that has a word; its hash stands for it. A window is the shortest run of lines from a line on that holds
+MIN_WORDS words. Of each window the least hash is selected, the last of equal ones: its line is a fingerprint of the document.
+Any run of MIN_WORDS words that two documents share holds a whole window of both, and that window selects the same line in
+both, so a shared run always has a fingerprint in common. Most windows select the line that their neighbour has selected.
 
-With all_places, as in op7_linededup and the pipeline, runs that continue at other earlier places than the first are whole
-too: windows are also taken up to each line, not only from each line on, and nothing needs extending.
+1. The selected lines, each once, are joined on their hashes. A fingerprint that one place has alone goes no further: that
+   is nearly all of a text that is nobody else's.
+2. From the places that are left matches are extended both ways, without pairing them off: the runs of lines around such a
+   place that just hold MIN_WORDS words, those that begin at one of the lines and those that end at one, are looked up by
+   their content. A run whose content has an earlier place is a repeat, whichever place that is. A longer shared run is made
+   up of the runs from its lines on and the run up to its last line, all of which hold a window and so a common fingerprint:
+   what these cover is all there is. Thousands of copies make thousands of rows, one for each run, and not their square.
+3. Runs that touch are joined, and all lines covered are deleted.
+
+Only ids, positions and hashes are shuffled. A Bloom filter passes the documents with deletions on to the exact join with
+what is to be cut from them; the texts of the others stay where they are.
 
 A line that is deleted has an equal line at an earlier place, and the earliest place of a line is never deleted, so every
 line of the corpus survives somewhere. Places are in order of doc_id, then of the text's hash, then of the line.
@@ -26,9 +31,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, word_count
+from claimloom.llm.common import bloom_blocks, materialise, may_hold, word_count
 
 MIN_WORDS = 50
+DOC = ["_id", "_doc"]
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,101 +43,54 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return split.select("_id", "_doc", "_at", F.xxhash64(F.trim("_line", F.lit(" \t\r\x0b\x0c"))).alias("_hash"), word_count("_line").cast("int").alias("_words")).filter("_words > 0")
 
 
-DOC = ["_id", "_doc"]
+def measured(found: DataFrame) -> DataFrame:
+    """Lines by document, each once, with the words before them (_start) and up to their end (_stop)."""
+    order = Window.partitionBy(*DOC).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_stop", F.sum("_words").over(order))
+    # starts increase strictly: every line here has a word
+    return found.withColumn("_start", F.col("_stop") - F.col("_words"))
 
 
-def windows(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per window: its number, first and last line, lines, fingerprint (_finger at _anchor) and content key."""
-    found = found.repartition(*DOC).dropDuplicates([*DOC, "_at"])
-    order = Window.partitionBy(*DOC).orderBy("_at")
-    found = found.withColumns({"_no": F.row_number().over(order), "_start": F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_words")})
-    # starts increase strictly: every line here has a word
-    span = Window.partitionBy(*DOC).orderBy("_start").rangeBetween(0, min_words - 1)
-    least = F.min(F.struct(F.col("_hash").alias("h"), (-F.col("_at")).alias("at"))).over(span)
-    found = found.select(
-        *DOC, "_no", "_at", least.alias("_least"), F.collect_list("_hash").over(span).alias("_inside"),
-        F.max("_at").over(span).alias("_end"), F.sum("_words").over(span).alias("_held"),
-    ).filter(F.col("_held") >= min_words)
-    return found.select(*DOC, "_no", "_at", "_end", F.size("_inside").alias("_n"), F.col("_least.h").alias("_finger"), (-F.col("_least.at")).alias("_anchor"), F.xxhash64("_inside").alias("_key"))
-
-
-def links(found: DataFrame) -> DataFrame:
-    """Each window that an earlier place has too, with that first place (_first: _id, _doc, _at, _no)."""
-    key = ["_finger", "_key"]
-    place = F.struct(*DOC, "_at", "_no")
-    firsts = found.groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_places")).filter("_places > 1").drop("_places")
-    # as a table: a join of two scans can be split where one passage is in a third of the documents
-    met = found.join(materialise(firsts), key).filter(~place.eqNullSafe(F.col("_first")))
-    return met.select(*DOC, "_no", "_at", "_end", "_n", "_first")
-
-
-def contexts(found: DataFrame, places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The lines (hash, position) before and from each wanted place on; places: _id, _doc, _at."""
-    both = found.select(*DOC, "_at", "_hash", "_words").withColumn("_want", F.lit(0)).unionByName(places.select(*DOC, "_at").withColumn("_want", F.lit(1)), allowMissingColumns=True)
-    both = both.repartition(*DOC).groupBy(*DOC, "_at").agg(F.max("_hash").alias("_hash"), F.max("_words").alias("_words"), F.max("_want").alias("_want"))
-    order = Window.partitionBy(*DOC).orderBy("_at")
-    both = both.withColumn("_start", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_words"))
-    near = Window.partitionBy(*DOC).orderBy("_start")
-    line = F.struct(F.col("_hash").alias("h"), F.col("_at").alias("at"))
-    both = both.select(*DOC, "_at", "_want", F.collect_list(line).over(near.rangeBetween(-min_words, -1)).alias("_left"), F.collect_list(line).over(near.rangeBetween(1, 2 * min_words)).alias("_right"))
-    return both.filter("_want = 1").select(*DOC, "_at", F.reverse("_left").alias("_left"), "_right")
-
-
-def _reach(own, other):
-    """The position of the last of the equal leading lines of two lists; null if there is none."""
-    differs = F.zip_with(own, other, lambda a, b: ~a["h"].eqNullSafe(b["h"]))
-    at = F.array_position(differs, True).cast("int")
-    n = F.when(at > 0, at - 1).otherwise(F.size(differs))
-    return F.when(n > 0, F.try_element_at(own, n)["at"])
+def fingerprints(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_id, _doc, _at, _hash: the lines that windows select, each once."""
+    found = measured(found.repartition(*DOC).dropDuplicates([*DOC, "_at"]))
+    ahead = Window.partitionBy(*DOC).orderBy("_start").rangeBetween(0, min_words - 1)
+    least = F.min(F.struct(F.col("_hash").alias("h"), (-F.col("_at")).alias("at"))).over(ahead)
+    windows = found.select(*DOC, least.alias("_least"), F.sum("_words").over(ahead).alias("_held")).filter(F.col("_held") >= min_words)
+    # neighbouring windows mostly select the same line
+    return windows.select(*DOC, (-F.col("_least.at")).alias("_at"), F.col("_least.h").alias("_hash")).dropDuplicates([*DOC, "_at"])
 
 
-def repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_id, _doc, _from, _to: the runs of lines that repeat an earlier place, joined where they touch."""
-    met = materialise(links(materialise(windows(found, min_words))))
-    order = Window.partitionBy(*DOC).orderBy("_no")
-    chain = lambda other, by: (other(F.struct(*[F.col("_no") + by, F.col("_first._id"), F.col("_first._doc"), F.col("_first._no") + by])).over(order)).eqNullSafe(F.struct("_no", "_first._id", "_first._doc", "_first._no"))
-    ends = met.withColumns({"_goes_on": chain(F.lead, -1), "_came_on": chain(F.lag, 1)})
-    runs = ends.select(*DOC, F.col("_at").alias("_from"), F.col("_end").alias("_to"))
-    ends = materialise(ends.filter("not (_goes_on and _came_on)"))
-    places = ends.select(*DOC, "_at").unionByName(ends.select("_first._id", "_first._doc", "_first._at")).distinct()
-    around = materialise(contexts(found, places, min_words))
-    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_doc"] == b["_doc"]) & (a["_at"] == b["_at"])
-    firsts = around.select(F.col("_id").alias("_id1"), F.col("_doc").alias("_doc1"), F.col("_at").alias("_at1"), F.col("_left").alias("_left1"), F.col("_right").alias("_right1"))
-    mine = around.select(F.col("_id").alias("_id2"), F.col("_doc").alias("_doc2"), F.col("_at").alias("_at2"), F.col("_left").alias("_left2"), F.col("_right").alias("_right2"))
-    ends = ends.join(mine, ends["_id"].eqNullSafe(mine["_id2"]) & (ends["_doc"] == mine["_doc2"]) & (ends["_at"] == mine["_at2"]))
-    ends = ends.join(firsts, F.col("_first._id").eqNullSafe(F.col("_id1")) & (F.col("_first._doc") == F.col("_doc1")) & (F.col("_first._at") == F.col("_at1")))
-    after = lambda c: F.slice(c, F.col("_n"), F.greatest(F.size(c) - F.col("_n") + 1, F.lit(0)))
-    left = F.when(~F.col("_came_on"), _reach(F.col("_left2"), F.col("_left1")))
-    right = F.when(~F.col("_goes_on"), _reach(after("_right2"), after("_right1")))
-    return joined(runs.unionByName(ends.select(*DOC, F.coalesce(left, "_at").alias("_from"), F.coalesce(right, "_end").alias("_to"))))
-
-
-def spans(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_from, _to, _n, _head, _key: the shortest runs of min_words words that start at a line, and those that end at one."""
-    found = found.repartition(*DOC).dropDuplicates([*DOC, "_at"])
-    order = Window.partitionBy(*DOC).orderBy("_at")
-    found = found.withColumn("_stop", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_stop") - F.col("_words"))
+def shared(selected: DataFrame) -> DataFrame:
+    """The places of fingerprints that more than one place has."""
+    again = selected.groupBy("_hash").agg(F.count("*").alias("_places")).filter("_places > 1").drop("_places")
+    # as a table: a join of two scans can be split where one line is in a third of the documents
+    return selected.join(materialise(again), "_hash", "left_semi")
+
+
+def extensions(found: DataFrame, places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_from, _to, _n, _key: the runs around the places that just hold min_words words, from a line on and up to a line."""
+    both = found.withColumn("_hit", F.lit(False)).unionByName(places.withColumns({"_words": F.lit(None).cast("int"), "_hit": F.lit(True)}))
+    both = both.repartition(*DOC).groupBy(*DOC, "_at").agg(F.max("_hash").alias("_hash"), F.max("_words").alias("_words"), F.max("_hit").alias("_hit"))
+    # documents without any such place are done
+    both = measured(both.withColumn("_any", F.max("_hit").over(Window.partitionBy(*DOC))).filter("_any").drop("_any"))
     ahead = Window.partitionBy(*DOC).orderBy("_start").rangeBetween(0, min_words - 1)
     behind = Window.partitionBy(*DOC).orderBy("_stop").rangeBetween(1 - min_words, 0)
-    run = lambda over: F.struct(F.min("_at").over(over).alias("_from"), F.max("_at").over(over).alias("_to"), F.sum("_words").over(over).alias("_held"), F.collect_list("_hash").over(over).alias("_inside"))
-    found = found.select(*DOC, "_words", run(ahead).alias("_ahead"), run(behind).alias("_behind"))
+    run = lambda over: F.struct(F.min("_at").over(over).alias("_from"), F.max("_at").over(over).alias("_to"), F.sum("_words").over(over).alias("_held"), F.max("_hit").over(over).alias("_hit"), F.collect_list("_hash").over(over).alias("_inside"))
+    both = both.select(*DOC, "_words", run(ahead).alias("_ahead"), run(behind).alias("_behind"))
     # a run that ends here and is the shortest from its first line too is there already
     twice = F.when(F.col("_behind._held") - F.col("_words") >= min_words, F.col("_behind"))
-    found = found.select(*DOC, F.explode(F.array("_ahead", twice)).alias("_run")).select(*DOC, "_run.*").filter(F.col("_held") >= min_words)
-    return found.select(*DOC, "_from", "_to", F.size("_inside").alias("_n"), F.element_at("_inside", 1).alias("_head"), F.xxhash64("_inside").alias("_key"))
+    both = both.select(*DOC, F.explode(F.array("_ahead", twice)).alias("_run")).select(*DOC, "_run.*").filter((F.col("_held") >= min_words) & F.col("_hit"))
+    return both.select(*DOC, "_from", "_to", F.size("_inside").alias("_n"), F.xxhash64("_inside").alias("_key"))
 
 
-def all_repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_id, _doc, _from, _to as repeats(), whichever earlier place a run repeats.
-
-    A run of min_words words that an earlier place has too is made up of the shortest runs from its lines on and the
-    shortest run up to its last line, all of which lie within it: those that have an earlier place are all there is.
-    """
-    found = materialise(spans(found, min_words))
-    key, place = ["_n", "_head", "_key"], F.struct(*DOC, "_from")
-    firsts = found.groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_places")).filter("_places > 1").drop("_places")
-    # as a table: a join of two scans can be split where one passage is in a third of the documents
-    return joined(found.join(materialise(firsts), key).filter(~place.eqNullSafe(F.col("_first"))).select(*DOC, "_from", "_to"))
+def repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_id, _doc, _from, _to: the runs of lines that repeat an earlier place, joined where they touch."""
+    places = shared(materialise(fingerprints(found, min_words)))
+    around = materialise(extensions(found, places, min_words))
+    key, place = ["_n", "_key"], F.struct(*DOC, "_from")
+    firsts = around.groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_places")).filter("_places > 1").drop("_places")
+    return joined(around.join(materialise(firsts), key).filter(~place.eqNullSafe(F.col("_first"))).select(*DOC, "_from", "_to"))
 
 
 def joined(runs: DataFrame) -> DataFrame:
@@ -143,21 +102,25 @@ def joined(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*DOC, "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False, all_places: bool = False) -> DataFrame:
-    """docs with the repeated lines deleted from the text. report: also _n_lines, _n_deleted and _runs. all_places: see above."""
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
+    """docs with the repeated lines deleted from the text. report: also _n_lines, _n_deleted and _runs."""
     found = materialise(lines(docs, id_col, text_col))
-    cuts = (all_repeats if all_places else repeats)(found, min_words).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_runs"))
-    own = docs.withColumn("_h", F.xxhash64(text_col))
-    out = own.join(cuts, own[id_col].eqNullSafe(cuts["_id"]) & (own["_h"] == cuts["_doc"]), "left").drop("_id", "_doc", "_h")
+    cuts = repeats(found, min_words).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("__runs"))
+    cuts = materialise(cuts.withColumnsRenamed({"_id": "__id", "_doc": "__doc"}))
+    own = docs.withColumn("__h", F.xxhash64(text_col))
+    rows = may_hold(own, F.when(F.col(text_col).isNotNull(), F.col("__h")), cuts.select("__doc"), bloom_blocks(cuts.count()), "__passes")
+    passed, rest = rows.filter("__passes"), rows.filter("not __passes")
+    cut = passed.join(cuts, passed[id_col].eqNullSafe(cuts["__id"]) & (passed["__h"] == cuts["__doc"]), "left").drop("__id", "__doc")
+    out = cut.unionByName(rest.withColumn("__runs", F.lit(None).cast(cuts.schema["__runs"].dataType))).drop("__h", "__passes")
     split = F.split(F.col(text_col), "\n")
     # what is kept are the slices between the runs: the cost is lines plus runs
-    starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["_to"] + 1))
-    stops = lambda parts: F.concat(F.transform("_runs", lambda r: r["_from"]), F.array(F.size(parts)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("__runs", lambda r: r["_to"] + 1))
+    stops = lambda parts: F.concat(F.transform("__runs", lambda r: r["_from"]), F.array(F.size(parts)))
     kept = F.transform(F.array(split), lambda parts: F.array_join(F.flatten(F.zip_with(starts, stops(parts), lambda a, b: F.slice(parts, a + 1, F.greatest(b - a, F.lit(0))))), "\n"))
-    cleaned = F.when(F.col("_runs").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.element_at(kept, 1))
+    cleaned = F.when(F.col("__runs").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.element_at(kept, 1))
     if not report:
-        return out.withColumn(text_col, cleaned).drop("_runs")
+        return out.withColumn(text_col, cleaned).drop("__runs")
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
-    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["_to"] - r["_from"] + 1), F.lit(0))
-    out = out.withColumns({"_n_lines": n, "_n_deleted": gone, "_cleaned": cleaned, "_runs": F.coalesce("_runs", F.array().cast("array<struct<_from:int,_to:int>>"))})
-    return out.withColumn(text_col, F.col("_cleaned")).drop("_cleaned")
+    gone = F.coalesce(F.aggregate("__runs", F.lit(0), lambda a, r: a + r["_to"] - r["_from"] + 1), F.lit(0))
+    out = out.withColumns({"_n_lines": n, "_n_deleted": gone, "__cleaned": cleaned, "_runs": F.coalesce("__runs", F.array().cast("array<struct<_from:int,_to:int>>"))})
+    return out.withColumn(text_col, F.col("__cleaned")).drop("__cleaned", "__runs")
