@@ -2,9 +2,10 @@
 
 Features are the presence of a word and of its first 4, 5 and 6 letters (inflected forms share those). The model is fitted
 on a bounded sample of labelled texts: at most SAMPLE of each class, the smallest by a hash of the text, weighed back to the
-shares of the classes. Sentences of the sample that hold a term for a group of people are paired with copies in which the
-term is swapped for others of its set; the squared change of the score over such pairs is part of the loss, so that weight
-cannot rest on the mention of a group.
+shares of the classes. Of every text of the sample come sentences that name a group of people: its own that do, or else one
+of its sentences with a term planted in it, so that there are such sentences whatever the corpus. Each is paired with a copy
+in which the term is swapped for another of its set; the squared change of the score over these pairs is part of the loss,
+so that weight cannot rest on the mention of a group, nor on letters that its name shares with other words.
 
 Defined cases: null and empty texts have no features and get the score of the intercept; documents without a label are
 scored alike; of several labels of one id the larger counts; labels other than 0 and 1 are no labels; without labels of
@@ -15,6 +16,7 @@ gives no rows; other columns are carried along by judge() and left out by score(
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,9 @@ THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 MIN_DOCS = 4
 VOCABULARY = 4000
-PENALTY, PAIR_PENALTY, ROUNDS, RATE = 2e-4, 1.0, 300, 0.3
+#: Sentences of a text that are paired, at most (the smallest by a checksum), and words that are kept on either side of a term.
+SENTENCES, SPAN = 8, 20
+PENALTY, PAIR_PENALTY, ROUNDS, RATE = 2e-4, 5.0, 300, 0.3
 
 #: Sets of terms that name groups of people, in the four languages of documents; within a set any may stand for any other.
 #: A term is in one set only: texts are not told apart by language.
@@ -85,37 +89,63 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORDS.findall((text or "").lower()))
 
 
-def swaps(text: str | None, sets=IDENTITY) -> list[tuple[set[str], set[str]]]:
-    """Words of each sentence that names a group, and of the sentence with the next term of the set in its place."""
+def mentions(text: str | None, sets=IDENTITY) -> list[list[str]]:
+    """Words of sentences that name a group: those of the text, or one with a term planted. At most SENTENCES of 2 x SPAN + 1."""
+    terms = [t for s in sets for t in s]
+    if not terms or not text:
+        return []
+    known, found, bare = set(terms), [], []
+    for sentence in _SENTENCES.split(text.lower()):
+        words = _WORDS.findall(sentence)
+        if words:
+            named = next((k for k, w in enumerate(words) if w in known), None)
+            (bare if named is None else found).append(words if named is None else words[max(0, named - SPAN) : named + SPAN + 1])
+    order = lambda words: zlib.crc32(" ".join(words).encode("utf-8", "replace"))
+    if found or not bare:
+        return sorted(found, key=lambda w: (order(w), w))[:SENTENCES]
+    chosen = min(bare, key=lambda w: (order(w), w))
+    at = order(chosen)
+    return [[*chosen[:SPAN], terms[at % len(terms)], *chosen[SPAN : 2 * SPAN]]]
+
+
+def swaps(sentences: list[list[str]], sets=IDENTITY) -> list[tuple[set[str], set[str]]]:
+    """Words of each sentence, and of it with the next term of the set in the place of each term."""
     after = {t: s[(k + 1) % len(s)] for s in sets for k, t in enumerate(s)}
-    out = []
-    for sentence in _SENTENCES.split((text or "").lower()):
-        words = set(_WORDS.findall(sentence))
-        if words & after.keys():
-            out.append((words, {after.get(w, w) for w in words}))
-    return out
+    return [(set(words), {after.get(w, w) for w in words}) for words in sentences]
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, bias: float):
+    #: Words whose part of a score is remembered at a time.
+    REMEMBERED = 100_000
+
+    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, bias: float, pairs: int = 0):
         self.weights = {name: float(weights[k]) for name, k in vocabulary.items() if weights[k] != 0}
-        self.bias = bias
+        self.bias, self.pairs, self.parts = bias, pairs, {}
+
+    def part(self, word: str) -> tuple[str, ...]:
+        """The features of a word that have a weight."""
+        got = self.parts.get(word)
+        if got is None:
+            if len(self.parts) >= self.REMEMBERED:
+                self.parts.clear()
+            got = self.parts[word] = tuple(n for n in names_of((word,)) if n in self.weights)
+        return got
 
     def score(self, text: str | None) -> float:
-        z, get = self.bias, self.weights.get
-        seen = set()
-        for w in words_of(text):
-            z += get(w, 0.0)
-            for n in PREFIXES:
-                if len(w) > n:
-                    seen.add(w[:n])
-        for p in seen:
-            z += get(f"{p}-", 0.0)
+        seen = {n for w in words_of(text) for n in self.part(w)}
+        z = self.bias + sum(self.weights[n] for n in sorted(seen))
         return float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
 
 
-def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, sentences: list[str] | None = None) -> Model:
-    """Full-batch gradient descent; prior: the share of toxic labels in all labelled rows. sentences: to swap terms in, those of the texts if not given."""
+def gap(model: Model, texts: list[str], sets=IDENTITY) -> float:
+    """The mean change of the score when the term of a sentence that names a group is swapped, over all texts."""
+    pairs = [p for t in texts for p in swaps(mentions(t, sets), sets)]
+    return float(np.mean([abs(model.score(" ".join(sorted(a))) - model.score(" ".join(sorted(b)))) for a, b in pairs])) if pairs else 0.0
+
+
+def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, sentences: list[list[str]] | None = None) -> Model:
+    """Full-batch gradient descent; prior: the share of toxic labels in all labelled rows. sentences: to swap terms in, as
+    words; those that mentions() finds in the texts if not given."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
@@ -123,7 +153,7 @@ def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, senten
     number: dict[str, int] = {}
     ids_of = lambda words: np.fromiter((number.setdefault(n, len(number)) for n in sorted(names_of(words))), np.int64)
     features = [ids_of(words_of(t)) for t in texts]
-    pairs = [p for t in (texts if sentences is None else sentences) for p in swaps(t, sets)]
+    pairs = swaps([m for t in texts for m in mentions(t, sets)] if sentences is None else sentences, sets)
     before, after = ([ids_of(p[k]) for p in pairs] for k in (0, 1))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
 
@@ -166,7 +196,7 @@ def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, senten
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) / np.sqrt(step)
         w, bias = w - move[:-1], bias - float(move[-1])
-    return Model(vocabulary, np.where(np.abs(w) > 1e-4, w, 0), bias)
+    return Model(vocabulary, np.where(np.abs(w) > 1e-4, w, 0), bias, len(pairs))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -181,21 +211,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # the sample is drawn by a hash of the id before any text is read
     drawn = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1])  # at most 2 x sample rows
-    # sentences that name a group are kept as they are, of the rest each word once
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
-    terms = "|".join(t for s in IDENTITY for t in s)
-    named = F.filter(F.split(F.lower("text"), r"[.!?\n]+"), lambda s: F.rlike(s, F.lit(rf"(?<!\p{{L}})({terms})(?!\p{{L}})")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", F.array_join(words, " ").alias("words"), F.array_join(named, "\n").alias("named"))
+    drawn = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
+
+    def reduce(frames):
+        # of a text only its distinct words travel, in an order of their own, and the sentences to swap terms in
+        for pdf in frames:
+            words = [" ".join(sorted(words_of(t))) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": words, "named": ["\n".join(map(" ".join, mentions(t))) for t in pdf["text"]]})
+
+    rows = drawn.mapInPandas(reduce, "doc_id long, toxic int, words string, named string")
+    # a text of each id, also where one id comes in very many rows
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("words", "named", "toxic")).alias("r")).select("doc_id", "r.*")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "words"], kind="stable").drop_duplicates("doc_id")
-        model = fit(pdf["words"].fillna("").tolist(), pdf["toxic"].tolist(), prior, sentences=pdf["named"].fillna("").tolist())
-        return pd.DataFrame({"name": [None, *model.weights], "weight": [model.bias, *model.weights.values()]})
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        model = fit(pdf["words"].tolist(), pdf["toxic"].tolist(), prior, sentences=[s.split() for n in pdf["named"] for s in n.split("\n") if s])
+        return pd.DataFrame({"name": [None, "", *model.weights], "weight": [model.bias, model.pairs, *model.weights.values()]})
 
-    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "name string, weight double").collect()  # at most VOCABULARY + 1 rows
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "name string, weight double").collect()  # at most VOCABULARY + 2 rows
     weights = {r["name"]: r["weight"] for r in found}
-    bias = weights.pop(None, -60.0)
-    return Model({n: k for k, n in enumerate(weights)}, np.array(list(weights.values())), bias)
+    bias, pairs = weights.pop(None, -60.0), int(weights.pop("", 0))
+    return Model({n: k for k, n in enumerate(weights)}, np.array(list(weights.values())), bias, pairs)
 
 
 def scores(model: Model):
