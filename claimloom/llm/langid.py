@@ -31,10 +31,13 @@ FEATURES = 1 << 15
 EFFECTIVE = 40.0
 #: Pseudo-counts: of a value given a language, of a host leaning on its domain, of a domain leaning on all.
 VALUE_PRIOR, HOST_PRIOR, DOMAIN_PRIOR = 1.0, 5.0, 20.0
+#: Languages that a model may have: its table is on the driver and every executor (128 kB a language).
+MAX_LANGUAGES = 512
 #: Bytes of a text that are looked at in one piece.
 PIECE = 1 << 20
 
-_HIDDEN = re.compile(rb"<(script|style|head)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.S | re.I)
+_SILENT = re.compile(rb"<(script|style|head)\b")
+_ENTITY = re.compile(rb"&[#\w]+;")
 #: Digits and ASCII marks say nothing about a language: they count as blanks.
 _FOLD = bytes(32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b + 32 if b < 91 else b for b in range(256))
 
@@ -51,7 +54,28 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def visible(html: str) -> bytes:
-    return _HIDDEN.sub(b" ", html.encode())
+    """The text of a page, without its scripts, styles, head, comments, tags and entities. One scan forward: an end that
+    was not found once is not looked for again. What is not closed counts as a plain tag, a lone < as text."""
+    raw = html.encode("utf-8", "replace")
+    low, out, at, missing = raw.lower(), [], 0, set()
+    while (start := raw.find(b"<", at)) >= 0:
+        out.append(raw[at:start])
+        silent = _SILENT.match(low, start)
+        stop = -1
+        for mark in ([b"</" + silent[1]] if silent else [b"-->"] if low.startswith(b"<!--", start) else []) + [b">"]:
+            if mark not in missing:
+                if (found := low.find(mark, start)) >= 0:
+                    stop = found + len(mark)
+                    if mark[:2] == b"</":
+                        stop = low.find(b">", stop) + 1 or len(low)
+                    break
+                missing.add(mark)
+        if stop < 0:
+            out.append(raw[start:])
+            at = len(raw)
+            break
+        at = stop
+    return _ENTITY.sub(b" ", b" ".join([*out, raw[at:]]))
 
 
 def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -73,6 +97,9 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
 
 def load(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log P(cell | language). The table has at most languages x FEATURES rows, whatever was counted."""
+    counts = materialise(counts)
+    if (n := counts.select("lang").distinct().count()) > MAX_LANGUAGES:
+        raise ValueError(f"{n} languages: at most {MAX_LANGUAGES} fit the model")
     rows = counts.toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.full((len(langs), FEATURES), 0.5)
