@@ -6,8 +6,9 @@ the successor of its size in that order; while that bin conflicts, the search go
 tightest bin that fits and is compatible, or a new bin. No bin holds two documents of one duplicate cluster, nor more than
 ``source_limit`` documents of one source.
 
-Documents are dealt to shards of about ``shard_rows`` by a hash of id and text and every shard is packed by itself, so the
-number of bins that are not full is bounded by the number of shards, and copies and sources spread evenly.
+Pieces are dealt to shards of about ``shard_rows`` pieces by a hash of id, text and piece and every shard is packed by itself,
+so a task holds a bounded number of pieces however long the documents are, the number of bins that are not full is bounded by
+the number of shards, and copies and sources spread evenly.
 
 Defined cases: a null text is empty and an empty text takes no room and no bin (bin_id null; its row stays); a null source
 and a null cluster are in conflict with nothing; pieces of one document may share a bin with each other only if they have
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import word_count
+from claimloom.llm.common import BLANKS, materialise, word_count
 
 CAPACITY = 2048
 SOURCE_LIMIT = 4
@@ -83,14 +84,14 @@ def pack(docs: DataFrame, *, size=None, cluster=None, id_col: str = "doc_id", so
     """PACKED: a row per piece. size, cluster: Columns; words and a hash of the text's words in lower case if not given."""
     size = word_count("text") if size is None else size
     if cluster is None:
-        cluster = F.when(F.col("text").isNotNull(), F.xxhash64(F.lower(F.regexp_replace(F.trim("text"), r"[\x20\x09-\x0D]+", " "))))
-    n = docs.count()
-    shards = max(1, math.ceil(n / shard_rows))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.cast("long").alias("size"), cluster.cast("long").alias("cluster"))
-    slim = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int"))
+        cluster = F.when(F.col("text").isNotNull(), F.xxhash64(F.lower(F.regexp_replace(F.trim("text", F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " "))))
+    # written once: the texts are read for their sizes a single time
+    slim = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.cast("long").alias("size"), cluster.cast("long").alias("cluster")))
     whole = F.lit(capacity).cast("long")
-    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / whole) - 1).cast("int"))
-    pieces = slim.withColumn("piece", F.explode(cuts)).withColumn("first_word", F.col("piece") * whole).withColumn("n_words", F.least(whole, F.col("size") - F.col("first_word")).cast("int")).drop("size")
+    last = F.greatest(F.lit(0), F.ceil(F.col("size") / whole) - 1).cast("int")
+    shards = max(1, math.ceil((slim.agg(F.sum(last + 1)).first()[0] or 0) / shard_rows))
+    pieces = slim.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("first_word", F.col("piece") * whole).withColumn("n_words", F.least(whole, F.col("size") - F.col("first_word")).cast("int")).drop("size")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)).cast("int"))
     order = [F.col("n_words").desc(), "doc_id", "cluster", "source", "piece"]
     dealt = pieces.repartition(shards, "shard").sortWithinPartitions("shard", *order)
 
