@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from claimloom.llm.common import materialise, nullable_key
+from claimloom.llm.common import drop, materialise, nullable_key, store
 
 SHINGLE = 3
 SEED = 42
@@ -54,7 +54,8 @@ def fingerprints(text: pd.Series) -> pd.Series:
 def ball_links(nodes: DataFrame) -> DataFrame:
     """a < b: a link from every fingerprint (column fp, distinct) of a bucket to the least one in it."""
     bits = F.sequence(F.lit(-1), F.lit(63))
-    variants = nodes.select("fp", F.explode(bits).alias("bit")).select(
+    # a small table comes in few partitions, and each of its rows makes 65
+    variants = nodes.repartition("fp").select("fp", F.explode(bits).alias("bit")).select(
         F.when(F.col("bit") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, greatest(bit, 0))"))).alias("variant"),
         F.when(F.col("bit") < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, greatest(bit, 0))")).alias("mask"),
         (F.col("bit") < 0).cast("int").alias("self"),
@@ -70,7 +71,7 @@ def ball_links(nodes: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component), of the nodes of edges (a, b)."""
-    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    edges, path = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     before = None
     while True:
         # large star: larger neighbours of u move to the least neighbour of u
@@ -80,7 +81,8 @@ def connected(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours of u, and u, move to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
-        edges = materialise(small)
+        last, (edges, path) = path, store(small)
+        drop(edges.sparkSession, last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -118,4 +120,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_own"))
     labelled = rooted(materialise(marked.groupBy("fp").agg(least.alias("least"))))
     heads = labelled.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._own").alias("_own"))
-    return docs.withColumn("_own", own).join(heads, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
+    heads = heads.withColumnRenamed("_own", "__own")
+    return docs.withColumn("__own", own).join(heads, "__own", "left_semi").dropDuplicates(["__own"]).drop("__own")
