@@ -42,7 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), report=True, all_places=True)
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.size("_runs").alias("n_runs"), F.col("_runs").alias("runs"), F.length("text").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -54,11 +54,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+#: The list of the URL query: of every section of a site (first folder of a path) the pages of these numbers.
+LISTED_FIRST, LISTED_STEP, LISTED_LAST = 5, 13, 9999
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: the addresses of advertising hosts among the pages themselves."""
+    """The list does not depend on which pages there are: it names numbers in every section, several for each that exists."""
     pages = table(spark, sf_dir, "pages")
     host, path = urlfilter.host_path("url")
-    listed = pages.select(host.alias("host"), path.alias("path")).filter(F.col("host").rlike(r"(^|\.)ads[.-]")).select(urlfilter.canonical(F.col("host"), F.col("path")))
+    section = F.regexp_extract("path", "^/[^/]*/", 0)
+    sections = pages.select(host.alias("host"), path.alias("path")).filter((F.col("host") != "") & (section != "")).select(F.concat(urlfilter.canonical(F.col("host"), F.lit("")), section).alias("section")).distinct()
+    number = F.explode(F.sequence(F.lit(LISTED_FIRST), F.lit(LISTED_LAST), F.lit(LISTED_STEP)))
+    listed = sections.select("section", number.alias("number")).select(F.concat("section", F.col("number").cast("string")))
     return urlfilter.judge(pages, listed).drop("possible")
 
 
@@ -74,7 +81,8 @@ WITH parts AS (
   FROM pages),
 forms AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html?)+$', '') END AS canon FROM parts),
-listed AS (SELECT DISTINCT canon FROM forms WHERE regexp_matches(host, '(^|\.)ads[.-]')),
+sections AS (SELECT DISTINCT regexp_replace(host, '^(www|m)\.', '') || regexp_extract(path, '^/[^/]*/') AS section FROM parts WHERE host <> '' AND regexp_extract(path, '^/[^/]*/') <> ''),
+listed AS (SELECT section || n AS canon FROM sections, (SELECT unnest(range({LISTED_FIRST}, {LISTED_LAST + 1}, {LISTED_STEP})) AS n)),
 rules AS ({_RULES}),
 fits AS (
   SELECT f.page_id, f.host, f.path, r.h || r.p AS rule, r.verdict,
