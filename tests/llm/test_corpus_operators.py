@@ -154,12 +154,29 @@ def test_documents_as_media(spark):
         media.decode_media(media.encode_media(b"\xff" * 576)[:-1])
 
 
-def test_media_table_holds_each_payload_once(spark):
-    rows = [(1, "héllo", "s"), (2, None, "s"), (3, "", "s"), (4, "héllo", "t"), (5, "x" * 577, "s")]
-    stored = media.media_table(docs_of(spark, rows))
-    got = {r["digest"]: media.decode_media(bytes(r["media"]))[: r["n_bytes"]] for r in stored.collect()}
-    assert got == {hashlib.sha256(t.encode()).hexdigest(): t.encode() for t in ("héllo", "", "x" * 577)} and stored.count() == 3
+def test_media_table_holds_every_payload(spark):
+    rows = [(1, "héllo", "s"), (2, None, "s"), (3, "", "s"), (4, "héllo", "t"), (5, "x" * 577, "s")] + [(10 + k, "copy", "s") for k in range(50)]
+    stored = media.store_texts(docs_of(spark, rows).coalesce(1))
+    got = [(r["digest"], media.decode_media(bytes(r["media"]))[: r["n_bytes"]]) for r in stored.collect()]
+    assert sorted(got) == sorted((hashlib.sha256(t.encode()).hexdigest(), t.encode()) for t in ("héllo", "", "x" * 577, "copy"))  # a task stores a copy once
     assert stored.inputFiles()  # read back from storage
+    spread = media.store_texts(docs_of(spark, rows).repartition(7))
+    assert {(r["digest"], media.decode_media(bytes(r["media"]))[: r["n_bytes"]]) for r in spread.collect()} == set(got)
+
+
+def test_documents_keep_the_place_of_their_image(spark):
+    rng = np.random.default_rng(12)
+    odd = ["", " ", "\t", "\x1c", "a < b & c > d &amp; </p>", "<img src='x'>", "\u00a0"]
+    texts = ["\n".join(str(rng.choice([*odd, prose(rng, 5)])) for _ in range(int(rng.integers(1, 12)))) for _ in range(60)]
+    got = {r["doc_id"]: r for r in media.documents_as_media(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        half = -(-len(lines) // 2)
+        spoken = [" ".join(x.split()) for x in lines]
+        before, every = [x for x in spoken[:half] if x], [x for x in spoken if x]
+        r = got[i]
+        assert (r["position"], r["n_items"], r["caption"]) == (len(before), len(every) + 1, f"after {len(before)} of {len(every)} blocks")
+        assert r["text_before_sha256"] == (hashlib.sha256(before[-1].encode()).hexdigest() if before else None)
 
 
 # nearest neighbours
@@ -288,35 +305,26 @@ def test_toxicity_is_fair_to_group_mentions_in_each_language():
 
 
 def brute_lines(rows, min_words):
-    """By definition: windows with an earlier equal window, extended against the first by lines that begin at most
-    min_words words before the window or 2 x min_words words after its beginning; positions deleted by document."""
+    """By definition: a line goes if it is in a run of lines of min_words words or more that an earlier place has too."""
     docs = {}
     for i, t, _ in rows:
         if t is not None:
             docs[(i is not None, i or 0, xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63))] = t
-    found, spots = {}, {}
+    found = {key: [(k, x.strip(" \t\r\x0b\x0c"), len(WORDS.findall(x))) for k, x in enumerate(t.split("\n")) if WORDS.search(x)] for key, t in docs.items()}
+    first = {}
     for key in sorted(docs):
-        found[key] = [(k, x.strip(" \t\r\x0b\x0c"), len(WORDS.findall(x))) for k, x in enumerate(docs[key].split("\n")) if WORDS.search(x)]
         ls = found[key]
         for a in range(len(ls)):
-            n, b = 0, a
-            while b < len(ls) and n < min_words:
-                n += ls[b][2]
-                b += 1
-            if n >= min_words:
-                spots.setdefault(tuple(x[1] for x in ls[a:b]), []).append((key, a, b))
+            for b in range(a + 1, len(ls) + 1):
+                if sum(x[2] for x in ls[a:b]) >= min_words:
+                    first.setdefault(tuple(x[1] for x in ls[a:b]), (key, a))
     cut = defaultdict(set)
-    for places in spots.values():
-        first, a1, b1 = places[0]
-        for key, a, b in places[1:]:
-            mine, other = found[key], found[first]
-            lo, hi = a, b
-            before = lambda ls, x, y: sum(l[2] for l in ls[x:y])
-            while lo > 0 and max(before(mine, lo - 1, a), before(other, a1 - (a - lo) - 1, a1)) <= min_words and a1 - (a - lo) > 0 and mine[lo - 1][1] == other[a1 - (a - lo) - 1][1]:
-                lo -= 1
-            while hi < len(mine) and max(before(mine, a, hi), before(other, a1, b1 + hi - b)) <= 2 * min_words and b1 + hi - b < len(other) and mine[hi][1] == other[b1 + hi - b][1]:
-                hi += 1
-            cut[key].update(range(mine[lo][0], mine[hi - 1][0] + 1))
+    for key, ls in found.items():
+        for a in range(len(ls)):
+            for b in range(len(ls), a, -1):
+                if first.get(tuple(x[1] for x in ls[a:b]), (key, a)) != (key, a):
+                    cut[key].update(range(ls[a][0], ls[b - 1][0] + 1))
+                    break
     return {key: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut[key]) for key, t in docs.items()}
 
 
@@ -325,7 +333,7 @@ def test_line_dedup_matches_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
     pool = [prose(rng, int(rng.integers(1, 9))) for _ in range(25)] + ["  ", "", prose(rng, 30), "hot line here"] * 2
     rows = [(i, "\n".join(pool[int(k)] for k in rng.integers(0, len(pool), int(rng.integers(1, 30)))), "s") for i in range(60)]
-    rows += [(100, rows[3][1], "s"), (101, rows[3][1] + "\nnew end", "s"), (102, None, "s"), (103, "", "s"), (None, rows[4][1], "s"), (7, rows[7][1], "s"), (104, ("again and again\n" * 400), "s")]
+    rows += [(100, rows[3][1], "s"), (101, rows[3][1] + "\nnew end", "s"), (102, None, "s"), (103, "", "s"), (None, rows[4][1], "s"), (7, rows[7][1], "s"), (104, ("again and again\n" * 60), "s")]
     got = linededup.dedup_lines(docs_of(spark, rows).withColumns({"_at": F.lit(1), "hash": F.lit("clash")}).drop("_at"), min_words=12, report=True).collect()
     want = brute_lines(rows, 12)
     assert len(got) == len(rows)
@@ -354,7 +362,7 @@ def test_line_dedup_follows_every_earlier_place(spark):
     rng = np.random.default_rng(11)
     a, b, c, x, y, z = (prose(rng, n) for n in (30, 30, 15, 20, 15, 20))
     rows = [(1, f"{a}\n{b}\n{x}", "s"), (2, f"{a}\n{b}\n{c}", "s"), (3, f"{a}\n{b}\n{c}", "s"), (4, f"{z}\n{y}\n{a}\n{b}", "s"), (5, f"{y}\n{a}\n{b}", "s"), (6, f"{x}\n{y}", "s")]
-    done = linededup.dedup_lines(docs_of(spark, rows), all_places=True)
+    done = linededup.dedup_lines(docs_of(spark, rows))
     got = {r["doc_id"]: r["text"] for r in done.collect()}
     assert got == {1: rows[0][1], 2: c, 3: "", 4: f"{z}\n{y}", 5: "", 6: rows[5][1]}
     assert not re.search("Python|Pandas|Arrow", done._jdf.queryExecution().executedPlan().toString())
