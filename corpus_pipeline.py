@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import linededup, mixing, packing, simhash, toxicity
-from claimloom.llm.common import shared_dir, table
+from claimloom.llm.common import drop, scratch, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later repeats of runs of lines go from the texts; n_chars follows."""
-    return linededup.dedup_lines(docs, all_places=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other. What a stage and the one before it left in the shared folder goes once it is written."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch() as made:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        drop(spark, *made, *last)
+        docs, last = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
