@@ -43,9 +43,10 @@ def quote_json(raw: Column, key: str, expected: Column | None = None, fallback:
     if expected is not None:
         found = F.filter(found, lambda o: same_json(o["value"]) == same_json(expected))
     said = F.try_element_at(found, F.lit(1))["said"]
-    shown = F.coalesce(*[c for c in (fallback, expected) if c is not None], F.lit("null"))
-    text = F.when(said.isNotNull(), clip(said)).otherwise(clip(F.concat(F.lit(f'"{key}": '), shown)))
-    return F.struct(F.concat(text, suffix).alias("text"), said.isNotNull().alias("exact"))
+    shown = F.concat(F.lit(f'"{key}": '), F.coalesce(*[c for c in (fallback, expected) if c is not None], F.lit("null")))
+    # bound to names by an array of one, so that each is worked out once
+    quote = lambda q: F.struct(F.concat(clip(F.coalesce(q["said"], q["shown"])), q["suffix"]).alias("text"), q["said"].isNotNull().alias("exact"))
+    return F.element_at(F.transform(F.array(F.struct(said.alias("said"), shown.alias("shown"), suffix.alias("suffix"))), quote), 1)
 
 
 def index_quotes(raw: DataFrame, keys: list[str], body: str, key: str) -> DataFrame:

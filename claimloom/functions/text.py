@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimloom.functions import vocab
 
-_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-_TO = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
+def _plain() -> tuple[dict[str, str], dict[str, str]]:
+    """What characters beyond ASCII are without marks (compatibility decomposition): one character for one, and several for one."""
+    one, many = {"ø": "o", "Ø": "O", "å": "a", "Å": "A"}, {"æ": "ae", "Æ": "AE"}
+    for c in map(chr, range(0x80, 0x10000)):
+        if c not in one and c not in many and not 0xD800 <= ord(c) < 0xE000:
+            seen = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+            if seen:
+                (one if len(seen) == 1 else many)[c] = seen
+    return one, many
+
+
+_ONE, _MANY = _plain()
+_RARE = "[" + "".join(_MANY) + "]"
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without marks, in lower case; æ is ae, other letters beyond ASCII go."""
-    plain = F.translate(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("æ"), F.lit("ae")), F.lit("Æ"), F.lit("AE")), _FROM, _TO)
-    return F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
+    """Letters without marks, in lower case; æ is ae, and what has no plain form goes."""
+    table = F.str_to_map(F.lit("\x1e".join(map("\x1f".join, _MANY.items()))), F.lit("\x1e"), F.lit("\x1f"))
+
+    def plain(x):
+        # the few characters that stand for several are looked up one by one, in texts that hold any
+        spelt = F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(table, y), y)), "")
+        out = F.translate(F.when(x.rlike(_RARE), spelt).otherwise(x), "".join(_ONE), "".join(_ONE.values()))
+        return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, r"[^\x00-\x7F]", "")).otherwise(x)
+
+    # bound to a name by an array of one, so that the expression is worked out once
+    return F.lower(F.element_at(F.transform(F.array(F.coalesce(c, F.lit(""))), plain), 1))
 
 
 def words(c: Column) -> Column:
@@ -67,15 +88,23 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals; ties of the number as it is held go to the even digit."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def amount_text(amount: Column, currency: Column | None = None) -> Column:
     """NOK 1.2 m and the like."""
     a = F.abs(amount)
-    step = lambda low, by, form, unit: (a >= low, F.concat(F.format_string(form, a / by), F.lit(unit)))
-    (c1, t1), (c2, t2), (c3, t3) = step(1e9, 1e9, "%.1f", " bn"), step(1e6, 1e6, "%.1f", " m"), step(1e3, 1e3, "%.0f", " k")
-    text = F.when(c1, t1).when(c2, t2).when(c3, t3).otherwise(F.format_string("%.0f", a))
+    text = F.when(a >= 1e9, F.concat(fixed(a / 1e9, 1), F.lit(" bn"))).when(a >= 1e6, F.concat(fixed(a / 1e6, 1), F.lit(" m"))).when(a >= 1e3, F.concat(fixed(a / 1e3, 0), F.lit(" k"))).otherwise(fixed(a, 0))
     return F.concat(F.coalesce(currency, F.lit("NOK")) if currency is not None else F.lit("NOK"), F.lit(" "), F.when(amount < 0, "-").otherwise(""), text)
 
 
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital first letter."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(?s)\p{L}+|\P{L}+"), F.lit(0)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
+
+
 def iso_date(c: Column, as_of: Column) -> Column:
     """The first yyyy-mm-dd in a text if it is a date no later than a day after as_of, else null."""
     d = F.try_to_date(F.regexp_extract(F.coalesce(c, F.lit("")), r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
