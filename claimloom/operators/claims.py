@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions import ids, vocab
+from claimloom.functions import ids, quotes, vocab
+from claimloom.operators import evidence
+from claimloom.session import store
 
 
 def present(value: Column) -> Column:
@@ -28,14 +30,25 @@ def identify(claims: DataFrame, identity: str | None = None, period: str | None
 
 
 def figures(accounts: DataFrame, org: str, period: str, currency: str, account_type: str) -> DataFrame:
-    """A claim per figure and period; the identity is figure, period and type of accounts, the value has the amount."""
+    """A claim per figure and period; the identity is figure, period and type of accounts, the value has the amount.
+
+    Rows that are source records (evidence.RECORD) give claims with the words of the figure as filed.
+    """
     shown = [c for c in vocab.FIGURES if c in accounts.columns]
-    rows = accounts.select(F.col(org).cast("string").alias("org"), F.col(period).alias("reporting_period"), F.col(currency).alias("currency"), F.col(account_type).alias("account_type"), *[F.col(c).cast("double").alias(c) for c in shown])
-    rows = rows.unpivot(["org", "reporting_period", "currency", "account_type"], shown, "field", "amount").filter("amount is not null").withColumn("family", F.lit("annual_accounts"))
+    rows = evidence.with_record(accounts)
+    place = F.col("pos") if "pos" in accounts.columns else F.lit(None).cast("int")
+    suffix = F.concat(F.lit(" (regnskapsperiode "), F.coalesce(F.col(period), F.lit("None")), F.lit(")"))
+    cells = [F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("amount"), quotes.quote_json(F.col("raw"), vocab.FIGURES[c], ids.json_double(F.col(c).cast("double")), suffix=suffix).alias("quote")) for c in shown]
+    rows = rows.select(
+        F.col(org).cast("string").alias("org"), F.col(period).alias("reporting_period"), F.col(currency).alias("currency"), F.col(account_type).alias("account_type"),
+        evidence.evidence_of("brreg_regnskap_json_v1").alias("_e"), place.alias("_at"), F.explode(F.filter(F.array(*cells), lambda x: x["amount"].isNotNull())).alias("c"),
+    ).select("*", "c.*").drop("c").withColumn("family", F.lit("annual_accounts"))
     quoted = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(ids.json_string(F.col(c)))
     rows = rows.withColumn("value_json", F.concat(F.lit('{"account_type": '), quoted("account_type"), F.lit(', "amount": '), ids.json_double(F.col("amount")), F.lit(', "currency": '), quoted("currency"), F.lit("}")))
     rows = rows.withColumn("identity", F.concat(F.lit("["), F.concat_ws(", ", quoted("field"), quoted("reporting_period"), quoted("account_type")), F.lit("]")))
-    return identify(rows, "identity").drop("identity")
+    rows = rows.withColumn("effective_date", F.nullif(F.substring_index("reporting_period", "..", -1), F.lit("")))
+    rows = evidence.cite(rows, F.col("_e"), F.concat(F.lit("$["), F.col("_at").cast("string"), F.lit("]."), "field"), F.col("quote"), None)
+    return identify(rows, "identity").drop("identity", "quote", "_e", "_at")
 
 
 def merge_duplicates(claims: DataFrame, keys: list[str], pos: str = "pos", evidence: str = "evidence_ids") -> DataFrame:
@@ -46,17 +59,22 @@ def merge_duplicates(claims: DataFrame, keys: list[str], pos: str = "pos", evide
     return out.select(*keys, "_first.*", F.array_distinct(F.flatten(F.transform("_parts", lambda p: p[evidence]))).alias(evidence))
 
 
-def build(rows: DataFrame, org: str, family: str, field: str | dict[str, str | None], value: Column, identity: Column, *carried: str) -> DataFrame:
+def build(rows: DataFrame, org: str, family: str, field: str | dict[str, str | None], value: Column, identity: Column, *carried: str, method: str | None = None, locator: str | Column | None = None, span: Column | None = None, confidence: Column | None = None) -> DataFrame:
     """Claims of one kind from rows: identified by ``identity`` (text, or an array of texts), whatever their value.
 
     field: a name, or names with the name of the field that each is an alias of. An alias is the same fact under a second name.
+    method, locator, span (text, exact), confidence: how the value was read from the source record that a row is, and where.
     """
     names = field if isinstance(field, dict) else {field: None}
     kinds = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(a).cast("string").alias("alias_of")) for n, a in names.items()])
-    rows = rows.select(F.col(org).cast("string").alias("org"), F.lit(family).alias("family"), value.alias("value"), identity.alias("identity"), *carried).filter(present(F.col("value")))
+    rows = evidence.with_record(rows)
+    given = {"_e": evidence.evidence_of(method) if method else F.lit(None).cast("string"), "_l": F.lit(locator) if isinstance(locator, str) else locator, "_q": span, "_c": confidence}
+    given = {k: v for k, v in given.items() if v is not None}
+    rows = rows.select(F.col(org).cast("string").alias("org"), F.lit(family).alias("family"), value.alias("value"), identity.alias("identity"), *carried, *[v.alias(k) for k, v in given.items()]).filter(present(F.col("value")))
     kind = {f.name: f.dataType for f in rows.schema.fields}
     rows = rows.withColumns({c: ids.canonical(F.col(b), kind[b]) for c, b in (("value_json", "value"), ("identity_json", "identity"))})
-    rows = rows.withColumn("kind", F.explode(kinds)).select("org", "family", "kind.field", "kind.alias_of", "value_json", "identity_json", *carried)
+    rows = rows.withColumn("kind", F.explode(kinds)).select("org", "family", "kind.field", "kind.alias_of", "value_json", "identity_json", *carried, *given)
+    rows = evidence.cite(rows, *[F.col(c) if c in given else None for c in ("_e", "_l", "_q", "_c")]).drop(*given)
     return identify(rows, "identity_json").drop("identity_json")
 
 
@@ -100,16 +118,23 @@ def published_errors(errors: DataFrame) -> DataFrame:
     return errors.drop("trace").withColumn("error", F.regexp_replace("error", " at 0x[0-9a-fA-F]+", "")).orderBy("org", "source", "error")
 
 
-def group_edges(tree: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
-    """All (ancestor, node, level) of a tree of (parent, node), level by level; roots: (node). depth bounds the rounds."""
-    level = roots.select(F.col("node").alias("ancestor"), F.col("node"), F.lit(0).alias("level"))
-    out = level
-    for k in range(1, depth + 1):
-        level = level.alias("l").join(tree.alias("t"), F.col("l.node") == F.col("t.parent")).select("l.ancestor", F.col("t.node").alias("node"), F.lit(k).alias("level"))
-        if k > 2 and level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.filter("level > 0")
+def group_edges(tree: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
+    """All (ancestor, node, level) of a tree of (parent, node), level by level, as deep as it goes; roots: (node).
+
+    Every level is written to the shared folder, so a plan never holds more than one join, however deep the tree. A level
+    beyond ``most`` means that the links go round in a circle, which is an error.
+    """
+    session = tree.sparkSession
+    tree = store(tree.select("parent", "node"))
+    level = store(roots.select(F.col("node").alias("ancestor"), F.col("node"), F.lit(0).alias("level")))
+    found = [level]
+    while not level.isEmpty():
+        if len(found) > most:
+            raise ValueError(f"a tree of over {most} levels: its links go round in a circle")
+        level = store(level.alias("l").join(tree.alias("t"), F.col("l.node") == F.col("t.parent")).select("l.ancestor", F.col("t.node").alias("node"), F.lit(len(found)).alias("level")))
+        found.append(level)
+    paths = [str(f).rsplit("/", 1)[0] for x in found for f in x.inputFiles()[:1]]
+    return session.read.schema(level.schema).parquet(*paths).filter("level > 0")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -30,15 +30,22 @@ def top(rows: DataFrame, column: str, n: int = 15) -> DataFrame:
 
 
 def evidence_metrics(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row: how many claims have sources, hashes, spans, snapshots. claims: claim_id, evidence_ids, locator, claim_span."""
-    cited = claims.select("claim_id", F.explode_outer("evidence_ids").alias("id"))
-    facts = cited.join(evidence, "id", "left").groupBy("claim_id").agg(
-        (F.bool_and(F.col("source_url").isNotNull()) & (F.count("id") > 0)).alias("sourced"), F.bool_or(F.col("content_sha256").isNotNull()).alias("hashed"), F.bool_or(F.col("snapshot_path").isNotNull()).alias("kept"),
-    )
+    """One row: how complete the evidence behind the claims is.
+
+    claims: claim_id, family, reporting_period, evidence_ids, locator, claim_span, span_kind; evidence: id, source_url,
+    retrieved_at, content_sha256, snapshot_path. Ids without a row of evidence don't count.
+    """
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    facts = evidence.select("id", (there("source_url") & there("retrieved_at")).alias("sourced"), there("content_sha256").alias("hashed"), there("snapshot_path").alias("kept"))
+    cited = claims.select("claim_id", F.explode("evidence_ids").alias("id")).join(facts, "id")
+    facts = cited.groupBy("claim_id").agg(F.bool_and("sourced").alias("sourced"), F.bool_or("hashed").alias("hashed"), F.bool_or("kept").alias("kept"))
     yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return claims.join(facts, "claim_id").agg(
-        F.count("*").alias("claims"), yes(F.col("sourced")).alias("with_source"), yes(F.col("hashed")).alias("with_hash"), yes(F.col("kept")).alias("with_snapshot"),
-        yes(F.col("locator").isNotNull()).alias("with_locator"), yes(F.col("claim_span").isNotNull()).alias("with_span"),
+    accounts = F.col("family") == "annual_accounts"
+    claims = claims.withColumns({c: F.lit(None).cast("string") for c in ("reporting_period",) if c not in claims.columns})
+    return claims.join(facts, "claim_id", "left").agg(
+        F.count("*").alias("claims"), yes(F.col("sourced")).alias("with_source_and_retrieval_time"), yes(F.col("hashed")).alias("with_content_hash"), yes(there("claim_span")).alias("with_any_span"),
+        yes(F.col("span_kind") == "source_text").alias("with_quoted_span"), yes(there("locator")).alias("with_locator"), yes(F.col("kept")).alias("with_stored_snapshot"),
+        yes(accounts).alias("accounts_claims"), yes(accounts & there("reporting_period")).alias("accounts_claims_with_reporting_period"),
     )
 
 

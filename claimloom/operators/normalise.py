@@ -13,7 +13,9 @@ CODED = "struct<kode:string,beskrivelse:string>"
 ENTITY = f"""struct<organisasjonsnummer:string,navn:string,organisasjonsform:{CODED},antallAnsatte:int,harRegistrertAntallAnsatte:boolean,
  forretningsadresse:{ADDRESS},postadresse:{ADDRESS},naeringskode1:{CODED},stiftelsesdato:string,registreringsdatoEnhetsregisteret:string,konkurs:boolean,
  underAvvikling:boolean,underTvangsavviklingEllerTvangsopplosning:boolean,registrertIMvaregisteret:boolean,hjemmeside:string,epostadresse:string,
- telefon:string,mobil:string,sisteInnsendteAarsregnskap:string,erIKonsern:boolean,aktivitet:array<string>>"""
+ telefon:string,mobil:string,sisteInnsendteAarsregnskap:string,erIKonsern:boolean,aktivitet:array<string>,vedtektsfestetFormaal:array<string>,
+ kapital:struct<belop:double,valuta:string>,historiskeNavn:array<struct<navn:string,fraDato:string,tilDato:string>>,naeringskode2:{CODED},naeringskode3:{CODED},
+ registreringsdatoForetaksregisteret:string,overordnetEnhet:string,slettedato:string>"""
 ACCOUNTS = """array<struct<regnskapsperiode:struct<fraDato:string,tilDato:string>,valuta:string,regnskapstype:string,
  resultatregnskapResultat:struct<driftsresultat:struct<driftsresultat:double,driftsinntekter:struct<sumDriftsinntekter:double>>,ordinaertResultatFoerSkattekostnad:double,aarsresultat:double>,
  eiendeler:struct<sumEiendeler:double>,egenkapitalGjeld:struct<egenkapital:struct<sumEgenkapital:double>,gjeldOversikt:struct<sumGjeld:double>>>>"""
@@ -33,13 +35,18 @@ def entity(raw: DataFrame, body: str = "body") -> DataFrame:
     e = F.from_json(body, ENTITY)
     phones = F.array_compact(F.array(e["telefon"], e["mobil"]))
     own = e["forretningsadresse"]
+    day = lambda c: F.nullif(F.left(c, F.lit(10)), F.lit(""))
+    former = lambda x: F.struct(day(x["fraDato"]).alias("from"), x["navn"].alias("name"), day(x["tilDato"]).alias("to"))
     return raw.select(
         "*", e["organisasjonsnummer"].alias("organisation_number"), e["navn"].alias("legal_name"), e["organisasjonsform"]["kode"].alias("legal_form"),
         F.when(e["harRegistrertAntallAnsatte"], e["antallAnsatte"]).alias("registered_employees"), address(own).alias("business_address"), address(e["postadresse"]).alias("postal_address"),
         own["kommune"].alias("municipality"), e["naeringskode1"].alias("industry"), e["stiftelsesdato"].alias("founded_date"), e["konkurs"].alias("bankrupt"),
         e["underAvvikling"].alias("under_liquidation"), e["underTvangsavviklingEllerTvangsopplosning"].alias("forced_dissolution"), e["registrertIMvaregisteret"].alias("vat_registered"),
         e["hjemmeside"].alias("registry_homepage"), F.lower(F.substring_index(e["epostadresse"], "@", -1)).alias("email_domain"), phones.alias("phones"), e["erIKonsern"].alias("in_group"),
-        F.array_join(e["aktivitet"], " ").alias("stated_activity"), street(own).alias("street"), own["postnummer"].alias("postal_code"),
+        F.nullif(F.array_join(e["aktivitet"], " "), F.lit("")).alias("stated_activity"), F.nullif(F.array_join(e["vedtektsfestetFormaal"], " "), F.lit("")).alias("statutory_purpose"),
+        e["organisasjonsform"]["beskrivelse"].alias("legal_form_label"), e["registreringsdatoEnhetsregisteret"].alias("registered_date"), e["registreringsdatoForetaksregisteret"].alias("business_register_date"),
+        e["kapital"]["belop"].alias("share_capital"), F.transform(e["historiskeNavn"], former).alias("former_names"), F.array_compact(F.array(e["naeringskode2"], e["naeringskode3"])).alias("other_industries"),
+        e["sisteInnsendteAarsregnskap"].alias("latest_submitted_accounts"), e["overordnetEnhet"].alias("parent_unit"), e["slettedato"].alias("deleted_date"), street(own).alias("street"), own["postnummer"].alias("postal_code"),
     )
 
 
