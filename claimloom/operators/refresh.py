@@ -11,8 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from claimloom.functions import ids, vocab
+from claimloom.session import store
 
 OPTIONAL = {"alias_of": "string", "signal": "string", "role_code": "string", "title": "string", "stale": "boolean", "evidence_ids": "array<string>"}
 KEEPS = ("unchanged", "alias_added", "backfilled", "added", "changed")
@@ -83,7 +85,8 @@ def diff(previous: DataFrame, current: DataFrame, before: DataFrame, now: DataFr
 
 
 def apply(previous: DataFrame, current: DataFrame, before: DataFrame, now: DataFrame) -> Refresh:
-    rows = diff(previous, current, before, now)
+    # claims, changes and counts all rest on the one comparison: it is written once
+    rows = store(diff(previous, current, before, now))
     kept = [c[2:] for c in rows.columns if c.startswith("c_") and c not in ("c_state",)]
     carried = F.col("action").isin("stale", "historical")
     claims = rows.filter(~F.col("action").isin("dropped", "removed")).select(
@@ -125,13 +128,46 @@ def carried_evidence(claims: DataFrame, changed: DataFrame, before: DataFrame, n
     return now.withColumn("from_previous_run", F.lit(False)).unionByName(old.withColumn("from_previous_run", F.lit(True)), allowMissingColumns=True)
 
 
-def leaves(df: DataFrame, key: str) -> DataFrame:
-    """key, path, value of the columns of a table, as strings."""
-    rest = [c for c in df.columns if c != key]
-    return df.select(key, *[F.col(c).cast("string").alias(c) for c in rest]).unpivot([key], rest, "path", "value")
+def leaves(df: DataFrame, key: str, volatile: tuple[str, ...] = ()) -> DataFrame:
+    """key, path, value of every leaf of the records, at any depth; lists give their length and, by position, their elements.
+
+    volatile: names of columns or fields, anywhere in a record, that belong to a run and not to the record.
+    """
+    def walk(value: Column, kind, path: Column):
+        if isinstance(kind, StructType):
+            parts = [walk(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields if f.name not in volatile]
+            whole = [F.array(F.struct(path.alias("path"), F.lit("<absent>").alias("value")))]
+            return F.when(value.isNull(), whole[0]).otherwise(F.concat(*parts)) if parts else F.filter(whole[0], lambda x: F.lit(False))
+        if isinstance(kind, ArrayType):
+            length = F.array(F.struct(F.concat(path, F.lit("[length]")).alias("path"), F.size(value).cast("string").alias("value")))
+            inside = F.flatten(F.transform(value, lambda x, i: walk(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+            return F.when(value.isNull(), F.array(F.struct(path.alias("path"), F.lit(None).cast("string").alias("value")))).otherwise(F.concat(length, inside))
+        text = value if isinstance(kind, StringType) else F.to_json(value) if isinstance(kind, MapType) else value.cast("string")
+        return F.array(F.struct(path.alias("path"), text.alias("value")))
+
+    found = [walk(F.col(f.name), f.dataType, F.lit(f.name)) for f in df.schema.fields if f.name != key and f.name not in volatile]
+    return df.select(key, F.explode(F.concat(*found)).alias("x")).select(key, "x.*")
 
 
 def record_diff(before: DataFrame, after: DataFrame, key: str, volatile: tuple[str, ...] = ()) -> DataFrame:
-    """Leaves that differ between two versions of the same records."""
-    a, b = (leaves(d.drop(*volatile), key).withColumnRenamed("value", n) for d, n in ((before, "before"), (after, "after")))
+    """Leaves that differ between two versions of the same records, at any depth."""
+    a, b = (leaves(d, key, volatile).withColumnRenamed("value", n) for d, n in ((before, "before"), (after, "after")))
     return a.join(b, [key, "path"], "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+#: Names of values that belong to one run, wherever they stand in a record.
+RUN_SCOPED = ("run", "operations", "run_id", "started_at", "completed_at", "retrieved_at", "requests", "runtime_ms")
+
+
+def compare_runs(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, verdict of the records of two runs: equal, reordered (the same leaves in lists of another order), different, missing or extra."""
+    def seen(df, side):
+        own = leaves(df, key, RUN_SCOPED)
+        loose = F.struct(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), "value")
+        exact = F.sum(F.xxhash64("path", "value").cast("decimal(38,0)"))
+        return own.groupBy(key).agg(exact.alias(f"{side}_exact"), F.sum(F.xxhash64(loose).cast("decimal(38,0)")).alias(f"{side}_loose"))
+
+    both = seen(before, "a").join(seen(after, "b"), key, "full_outer")
+    c = F.col
+    verdict = F.when(c("a_exact").isNull(), "extra").when(c("b_exact").isNull(), "missing").when(c("a_exact") == c("b_exact"), "equal").when(c("a_loose") == c("b_loose"), "reordered").otherwise("different")
+    return both.select(key, verdict.alias("verdict"))
