@@ -10,29 +10,65 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from claimloom.operators.claims import latest_per_key
+from claimloom.session import store
 
 
 def read_feed(spark: SparkSession, folder: str, schema: StructType, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def upsert(feed: DataFrame, state: str, keys: list[str], order: list[str], checkpoint: str, complete: Callable[[int], bool] = lambda batch: True) -> StreamingQuery:
-    """Keeps the last write per key in numbered versions of a state table: state/version=N.
+def upsert(feed: DataFrame, state: str, keys: list[str], order: list[str], checkpoint: str, complete: Callable[[int], bool] = lambda batch: True, buckets: int = 16, keep: int = 2) -> StreamingQuery:
+    """Keeps the last write per key in a state table by buckets of the key: state/state_bucket=B/state_version=N.
 
-    A batch that is run again writes its version again with the same rows, so a restart changes nothing. Absence is
-    established only by batches that are complete; the flag is kept with the version.
+    A batch reads and writes the buckets that its keys fall in, each once, and no other; the log of a batch
+    (state-status/version=N) names which buckets it wrote, and readers take of every bucket the last version that a log
+    names. A batch that is run again writes the same rows again, so a restart changes nothing. Of each bucket the last
+    ``keep`` versions stay. Absence is established only by batches that are complete; the log keeps the flag.
     """
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        old = spark.read.schema(df.schema).parquet(f"{state}/version={n - 1}") if n > 0 else None
-        rows = df if old is None else old.unionByName(df)
-        latest_per_key(rows, keys, order).select(*df.columns).write.mode("overwrite").parquet(f"{state}/version={n}")
-        spark.range(1).select(F.lit(n).alias("version"), F.lit(complete(n)).alias("complete")).write.mode("overwrite").json(f"{state}-status/version={n}")
+        fresh = store(latest_per_key(df, keys, order).select(*df.columns).withColumn("state_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        touched = sorted(r["state_bucket"] for r in fresh.select("state_bucket").distinct().collect())  # at most ``buckets`` rows
+        versions = latest_versions(spark, state, below=n)
+        old = [f"{state}/state_bucket={b}/state_version={versions[b]}" for b in touched if b in versions]
+        rows = fresh.unionByName(spark.read.schema(df.schema).option("basePath", state).parquet(*old).select(*df.columns, "state_bucket")) if old else fresh
+        merged = latest_per_key(rows, ["state_bucket", *keys], order).select(*df.columns, "state_bucket").withColumn("state_version", F.lit(n))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state_bucket", "state_version").parquet(state)
+        spark.range(1).select(F.lit(n).alias("version"), F.lit(complete(n)).alias("complete"), F.array(*map(F.lit, touched)).cast("array<int>").alias("buckets")).write.mode("overwrite").json(f"{state}-status/version={n}")
+        for b in touched:
+            if n >= keep:
+                drop_older(spark, f"{state}/state_bucket={b}", n, keep)
 
     return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_versions(spark: SparkSession, state: str, below: int | None = None) -> dict[int, int]:
+    """The last version of each bucket by the log; at most as many as there are buckets."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{state}-status")
+    if not log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        return {}
+    rows = spark.read.schema("version int, complete boolean, buckets array<int>").json(f"{state}-status")
+    rows = rows if below is None else rows.filter(F.col("version") < below)
+    return {r["state_bucket"]: r["v"] for r in rows.select("version", F.explode("buckets").alias("state_bucket")).groupBy("state_bucket").agg(F.max("version").alias("v")).collect()}
+
+
+def read_state(spark: SparkSession, state: str, schema: StructType) -> DataFrame:
+    """The state table as of the last batch."""
+    paths = [f"{state}/state_bucket={b}/state_version={v}" for b, v in sorted(latest_versions(spark, state).items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def drop_older(spark: SparkSession, bucket: str, newest: int, keep: int) -> None:
+    """Deletes versions of a bucket but for the last ``keep``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(bucket)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((int(p.getPath().getName().split("=")[1]), p.getPath()) for p in files.listStatus(where) if p.getPath().getName().startswith("state_version="))
+    for version, path in found[: max(0, len(found) - keep)]:
+        if version < newest:
+            files.delete(path, True)
+
+
 def windowed(feed: DataFrame, ts: str, key: str, late: str = "45 days", width: str = "1 day") -> DataFrame:
     """Counts by window and key of a stream or table, with a bound on lateness."""
     return feed.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"))
