@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import html, ids, quotes, text, url, vocab
-from claimloom.operators import builders, claims, index, metrics, normalise, refresh, resolve
+from claimloom.operators import builders, claims, evidence, index, metrics, normalise, refresh, resolve, summary
 from claimloom.plans import query_language
-from claimloom.session import table
+from claimloom.session import shared_dir, table
 from claimloom.sources import readers
+from claimloom.streaming import changelog
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,35 +151,46 @@ def kth_latest_period(spark: SparkSession, d: str) -> DataFrame:
 # index and queries over it
 
 _INDEX = """
-SELECT CAST(c.c_custkey AS VARCHAR) AS o, c.c_name AS n, c.c_mktsegment AS f, n.n_name AS m, CAST(x.e AS BIGINT) AS e, x.r, x.r0, CAST(round(c.c_acctbal) AS BIGINT) AS p, x.fy, CASE WHEN c.c_custkey % 3 = 0 THEN 'https://c' || c.c_custkey || '.example/' END AS w, CAST(coalesce(x.j, 0) AS BIGINT) AS j
+SELECT CAST(c.c_custkey AS VARCHAR) AS o, c.c_name AS n, c.c_mktsegment AS f, n.n_name AS m, CAST(x.e AS BIGINT) AS e, CAST(x.r AS DOUBLE) AS r, CAST(x.r0 AS DOUBLE) AS r0,
+  CASE WHEN x.e IS NOT NULL THEN CAST(round(c.c_acctbal) AS DOUBLE) END AS p, x.fy, CASE WHEN c.c_custkey % 3 = 0 THEN 'https://c' || c.c_custkey || '.example/' END AS w, CAST(coalesce(x.j, 0) AS BIGINT) AS j
 FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN (
   SELECT o_custkey, count(*) AS e, CAST(min(year(o_orderdate)) AS INTEGER) AS fy, count(*) FILTER (o_orderstatus = 'O') AS j,
          CAST(sum(v) FILTER (k = 1) AS BIGINT) AS r, CAST(sum(v) FILTER (k = 2) AS BIGINT) AS r0
   FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS v, dense_rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC) AS k FROM orders) GROUP BY 1) x ON x.o_custkey = c.c_custkey"""
 
 
-def small_index(spark: SparkSession, d: str) -> DataFrame:
-    """A company index of the customers: their orders are staff, revenue by year and open jobs."""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.year("o_orderdate").alias("y"), F.round("o_totalprice").cast("long").alias("v"))
-    by_year = o.groupBy("o_custkey", "y").agg(F.sum("v").alias("v"), F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("j"))
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("y").desc()))
-    own = by_year.withColumn("k", k).groupBy("o_custkey").agg(F.sum("n").alias("e"), F.min("y").alias("fy"), F.sum("j").alias("j"), F.sum(F.when(F.col("k") == 1, F.col("v"))).alias("r"), F.sum(F.when(F.col("k") == 2, F.col("v"))).alias("r0"))
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.join(own, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        F.col("c_custkey").cast("string").alias("o"), F.col("c_name").alias("n"), F.col("c_mktsegment").alias("f"), F.col("n_name").alias("m"), "e", "r", "r0",
-        F.round("c_acctbal").cast("long").alias("p"), "fy", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://c"), F.col("c_custkey").cast("string"), F.lit(".example/"))).alias("w"), F.coalesce("j", F.lit(0)).alias("j"),
-    )
+def customer_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims on the customers: name, segment, nation, staff (their orders), revenue by year, result, site and open jobs."""
+    o = table(spark, d, "orders")
+    own = o.groupBy("o_custkey").agg(F.count("*").alias("registered_employees"), F.concat(F.min(F.year("o_orderdate")).cast("string"), F.lit("-01-01")).alias("founded_date"), F.max(F.year("o_orderdate")).cast("string").alias("y"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(own, F.col("c_custkey") == F.col("o_custkey"), "left")
+    site = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://c"), F.col("c_custkey").cast("string"), F.lit(".example/")))
+    rows = c.select("c_custkey", F.col("c_name").alias("legal_name"), F.col("c_mktsegment").alias("legal_form"), F.col("n_name").alias("municipality"), "registered_employees", "founded_date", site.alias("official_website"), F.round("c_acctbal").cast("long").alias("annual_result"), "y")
+    fields = {k: "legal_identity" for k in ("legal_name", "legal_form", "municipality", "registered_employees", "founded_date")} | {"official_website": "official_website"}
+    plain = claims.unpivot(rows, "c_custkey", fields)
+    period = lambda y: F.concat(y, F.lit("-01-01.."), y, F.lit("-12-31"))
+    result = rows.filter("y is not null").select(F.col("c_custkey").cast("string").alias("org"), period(F.col("y")).alias("reporting_period"), "annual_result")
+    filed = yearly(spark, d).drop("assets").unionByName(result, allowMissingColumns=True).withColumns({"currency": F.lit("NOK"), "account_type": F.lit("SELSKAP")})
+    figures = claims.figures(filed, "org", "reporting_period", "currency", "account_type").withColumn("pos", F.lit(100))
+    jobs = o.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("org"), F.struct(F.col("o_orderpriority").alias("title")).alias("ad"), F.col("o_orderkey").cast("string").alias("uuid"), F.col("o_orderkey").cast("int").alias("pos"))
+    ads = claims.build(jobs, "org", "jobs", "open_job", F.col("ad"), F.array(F.lit("nav"), F.col("uuid")), "pos")
+    return claims.identify(plain).unionByName(figures, allowMissingColumns=True).unionByName(ads, allowMissingColumns=True).withColumn("stale", F.lit(False))
+
+
+def customer_index(spark: SparkSession, d: str) -> DataFrame:
+    found = customer_claims(spark, d)
+    families = found.select("org", "family").distinct().withColumn("state", F.lit("available"))
+    return index.company_index(found, families)
 
 
 @query(_INDEX)
 def index_row(spark: SparkSession, d: str) -> DataFrame:
-    return small_index(spark, d)
+    return customer_index(spark, d).select("o", "n", "f", "m", "e", "r", "r0", "p", "fy", "w", "j")
 
 
 def ask(spark: SparkSession, d: str, question: str, *columns: str) -> DataFrame:
-    rows = small_index(spark, d).withColumns({"i": F.lit(None).cast("string"), "a": F.create_map().cast("map<string,string>"), "sp": F.array().cast("array<string>"), "y": F.lit(0)})
     names = [r["n_name"] for r in table(spark, d, "nation").select("n_name").collect()]  # 25 rows
-    return query_language.select(rows, query_language.parse(question, names)).select(*columns)
+    return query_language.select(customer_index(spark, d), query_language.parse(question, names)).select(*columns)
 
 
 @query(f"WITH x AS ({_INDEX}) SELECT o, n, p, e FROM x WHERE p > 0 AND m = (SELECT min(n_name) FROM nation) AND e > 10")
@@ -202,32 +214,43 @@ def topn_by_figure(spark: SparkSession, d: str) -> DataFrame:
     return ask(spark, d, "top 10 by revenue", "o", "r")
 
 
-@query(f"WITH x AS ({_INDEX}) SELECT o FROM x WHERE false")
+_ASKED = {"companies with good reviews": "NULL", "companies with web traffic": "NULL", "growing revenue": "r > r0", "loss-making companies": "p < 0", "companies that are hiring": "j > 0"}
+
+
+@query(f"WITH x AS ({_INDEX}) " + " UNION ALL ".join(f"SELECT '{q}' AS question, {str(c == 'NULL').lower()} AS refused, count(*) FILTER ({c if c != 'NULL' else 'false'}) AS companies FROM x" for q, c in _ASKED.items()))
 def refused_question(spark: SparkSession, d: str) -> DataFrame:
-    return ask(spark, d, "companies with good reviews", "o")
+    """Questions with whether they are refused and how many companies answer them: a refused one has no answer."""
+    rows = customer_index(spark, d)
+    parsed = {q: query_language.parse(q) for q in _ASKED}
+    parts = [query_language.select(rows, p).agg(F.count("*").alias("companies")).select(F.lit(q).alias("question"), F.lit(bool(p.unsupported)).alias("refused"), "companies") for q, p in parsed.items()]
+    return builders.union(parts)
 
 
 @query(f"""WITH x AS ({_INDEX})
 SELECT o, r, p, coalesce(r = max(r) OVER (), false) AS r_is_max, coalesce(p = max(p) OVER (), false) AS p_is_max FROM x""")
 def compare_entities_max(spark: SparkSession, d: str) -> DataFrame:
-    return index.compare(small_index(spark, d).select("o", "r", "p"), ["r", "p"])
+    return index.compare(customer_index(spark, d).select("o", "r", "p"), ["r", "p"])
 
 
-@query(f"""WITH x AS ({_INDEX}), s AS (
-  SELECT o, 0 AS pos, n || ' is registered in ' || m || '.' AS t FROM x UNION ALL SELECT o, 1, 'The registry reports ' || e || ' employees.' FROM x WHERE e IS NOT NULL
-  UNION ALL SELECT o, 2, 'Its verified website is ' || w || '.' FROM x WHERE w IS NOT NULL)
+def _money(v: str) -> str:
+    a = f"abs({v})"
+    size = f"CASE WHEN {a} >= 1e9 THEN printf('%.1f bn', {a} / 1e9) WHEN {a} >= 1e6 THEN printf('%.1f m', {a} / 1e6) WHEN {a} >= 1e3 THEN printf('%.0f k', {a} / 1e3) ELSE printf('%.0f', {a}) END"
+    return f"('NOK ' || CASE WHEN {v} < 0 THEN '-' ELSE '' END || {size})"
+
+
+@query(f"""WITH x AS ({_INDEX}),
+y AS (SELECT CAST(o_custkey AS VARCHAR) AS o, CAST(max(year(o_orderdate)) AS VARCHAR) AS y1, list(o_orderpriority ORDER BY o_orderkey) FILTER (o_orderstatus = 'O') AS ads, list_sort(list_distinct(list(CAST(year(o_orderdate) AS VARCHAR)))) AS years FROM orders GROUP BY 1),
+z AS (SELECT x.*, y.y1, y.ads, years[-2] AS y0 FROM x LEFT JOIN y USING (o)),
+s AS (
+  SELECT o, 0 AS pos, n || ' is a registered entity of type ' || f || ', registered in ' || array_to_string(list_transform(string_split(lower(m), ' '), lambda t: upper(t[1]) || t[2:]), ' ') || coalesce(', founded ' || fy || '-01-01', '') || '.' AS t FROM z
+  UNION ALL SELECT o, 1, 'Filed accounts for the period ending ' || y1 || '-12-31 show revenue of ' || {_money("r")} || CASE WHEN p >= 0 THEN ' and a net result of ' || {_money("p")} ELSE ' and a net loss of ' || {_money("abs(p)")} END || '.' FROM z WHERE r IS NOT NULL
+  UNION ALL SELECT o, 2, 'Revenue ' || CASE WHEN r > r0 THEN 'rose ' ELSE 'fell ' END || printf('%.1f', abs(r - r0) / r0 * 100) || '% from ' || {_money("r0")} || ' in ' || y0 || ' to ' || {_money("r")} || ' in ' || y1 || '.' FROM z WHERE r <> r0
+  UNION ALL SELECT o, 3, 'The registry reports ' || e || ' employees.' FROM z WHERE e IS NOT NULL
+  UNION ALL SELECT o, 4, 'Its verified website is ' || w || '.' FROM z WHERE w IS NOT NULL
+  UNION ALL SELECT o, 5, 'It appears to be hiring: ' || j || ' active NAV job ad(s), e.g. ' || array_to_string(ads[1:3], '; ') || '.' FROM z WHERE j > 0)
 SELECT o AS org, string_agg(t, ' ' ORDER BY pos) AS text FROM s GROUP BY o""")
 def summary_sentences(spark: SparkSession, d: str) -> DataFrame:
-    from claimloom.operators import summary
-
-    x = small_index(spark, d)
-    cells = [
-        (0, F.concat(F.col("n"), F.lit(" is registered in "), F.col("m"), F.lit("."))),
-        (1, F.concat(F.lit("The registry reports "), F.col("e").cast("string"), F.lit(" employees."))),
-        (2, F.concat(F.lit("Its verified website is "), F.col("w"), F.lit("."))),
-    ]
-    rows = x.select(F.col("o").alias("org"), F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), t.alias("text")) for k, t in cells])).alias("s")).select("org", "s.*").filter("text is not null")
-    return summary.summaries(rows)
+    return summary.summaries(summary.sentences(customer_claims(spark, d)))
 
 
 # refresh
@@ -333,14 +356,20 @@ def only_left_right(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT l_orderkey, CASE WHEN l_quantity > 5 THEN 'u' END AS u, CASE WHEN l_returnflag = 'R' THEN 'h' END AS h, CASE WHEN l_linestatus = 'O' THEN 's' END AS s FROM lineitem),
-f AS (SELECT l_orderkey, count(u) = count(*) AS sourced, count(h) > 0 AS hashed, count(s) > 0 AS kept FROM e GROUP BY 1)
-SELECT count(*) AS claims, count(*) FILTER (sourced) AS with_source, count(*) FILTER (hashed) AS with_hash, count(*) FILTER (kept) AS with_snapshot, count(*) FILTER (o_orderpriority IS NOT NULL) AS with_locator, count(*) FILTER (o_orderstatus = 'F') AS with_span
+WITH e AS (SELECT l_orderkey, CASE WHEN l_quantity > 5 THEN 'u' END AS u, CASE WHEN l_shipdate > DATE '1993-01-01' THEN 't' END AS t, CASE WHEN l_returnflag = 'R' THEN 'h' END AS h, CASE WHEN l_linestatus = 'O' THEN 's' END AS s FROM lineitem),
+f AS (SELECT l_orderkey, bool_and(u IS NOT NULL AND t IS NOT NULL) AS sourced, count(h) > 0 AS hashed, count(s) > 0 AS kept FROM e GROUP BY 1)
+SELECT count(*) AS claims, count(*) FILTER (sourced) AS with_source_and_retrieval_time, count(*) FILTER (hashed) AS with_content_hash, count(*) FILTER (o_orderstatus = 'F') AS with_any_span, count(*) FILTER (o_orderkey % 3 = 0) AS with_quoted_span,
+  count(*) FILTER (o_orderpriority IS NOT NULL) AS with_locator, count(*) FILTER (kept) AS with_stored_snapshot, count(*) FILTER (o_orderkey % 2 = 0) AS accounts_claims, count(*) FILTER (o_orderkey % 2 = 0 AND o_custkey % 5 <> 0) AS accounts_claims_with_reporting_period
 FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
 def evidence_metrics(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").select("l_orderkey", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.xxhash64("*").cast("string")).alias("id"), F.when(F.col("l_quantity") > 5, "u").alias("source_url"), F.when(F.col("l_returnflag") == "R", "h").alias("content_sha256"), F.when(F.col("l_linestatus") == "O", "s").alias("snapshot_path"))
-    cited = line.groupBy("l_orderkey").agg(F.collect_list("id").alias("evidence_ids"))
-    o = table(spark, d, "orders").join(cited, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("claim_id"), "evidence_ids", F.col("o_orderpriority").alias("locator"), F.when(F.col("o_orderstatus") == "F", "f").alias("claim_span"))
+    """Orders as claims and their lines as the evidence."""
+    line = table(spark, d, "lineitem").select("l_orderkey", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.xxhash64("*").cast("string")).alias("id"), F.when(F.col("l_quantity") > 5, "u").alias("source_url"), F.when(F.col("l_shipdate") > F.lit("1993-01-01").cast("timestamp_ntz"), "t").alias("retrieved_at"), F.when(F.col("l_returnflag") == "R", "h").alias("content_sha256"), F.when(F.col("l_linestatus") == "O", "s").alias("snapshot_path"))
+    cited = line.groupBy("l_orderkey").agg(F.collect_set("id").alias("evidence_ids"))
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").join(cited, F.col("l_orderkey") == k, "left").select(
+        k.alias("claim_id"), "evidence_ids", F.col("o_orderpriority").alias("locator"), F.when(F.col("o_orderstatus") == "F", "f").alias("claim_span"), F.when(k % 3 == 0, "source_text").otherwise("rendered_value").alias("span_kind"),
+        F.when(k % 2 == 0, "annual_accounts").otherwise("jobs").alias("family"), F.when(F.col("o_custkey") % 5 != 0, "1996").alias("reporting_period"),
+    )
     return metrics.evidence_metrics(o, line.drop("l_orderkey").dropDuplicates(["id"]))
 
 
@@ -404,10 +433,12 @@ def recall_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return got.select("family", *[F.round(c, 6).alias(c) for c in ("company_recall", "claim_recall", "score")])
 
 
-@query("SELECT o_orderkey, CASE WHEN v >= 1000000 THEN 'NOK ' || v // 1000000 || '.0 m' WHEN v >= 1000 THEN 'NOK ' || v // 1000 || ' k' ELSE 'NOK ' || v END AS amount FROM (SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS v FROM orders)")
+@query(f"SELECT o_orderkey, {_money('v')} AS amount FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN -o_totalprice * 1000 WHEN 2 THEN CAST(o_orderkey * 250 AS DOUBLE) ELSE o_totalprice * 100000 END AS v FROM orders)")
 def amount_format(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("o_totalprice")
-    return table(spark, d, "orders").select("o_orderkey", text.amount_text(F.when(x >= 1000, F.floor(x / 1000) * 1000).otherwise(F.floor(x)).cast("double")).alias("amount"))
+    """Prices as they are, and in thousands and more; every fourth a multiple of 250, so that some lie half way."""
+    k, x = F.col("o_orderkey"), F.col("o_totalprice")
+    v = F.when(k % 4 == 0, x).when(k % 4 == 1, -x * 1000).when(k % 4 == 2, (k * 250).cast("double")).otherwise(x * 100_000)
+    return table(spark, d, "orders").select("o_orderkey", text.amount_text(v).alias("amount"))
 
 
 # resolution
@@ -519,14 +550,28 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", url.page_key(F.col("url")).alias("page_key"), url.normalize_homepage(F.col("url")).alias("homepage"))
 
 
-@query(rf"""
-WITH x AS (SELECT d.doc_id, list_filter(regexp_extract_all(lower(d.source), '[a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({list(vocab.SEARCH_GENERIC)}, t)) AS core, lower(d.source) || ' site' AS title, 'https://' || lower(d.source) || '.example/' AS url, d.doc_id % 4 AS q FROM documents d)
-SELECT doc_id, (CASE WHEN q < 2 THEN 45 ELSE 25 END + CASE WHEN q % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN q = 0 THEN 10 ELSE 0 END) / 100 AS score FROM x""")
+_WORDS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 1)"
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, doc_id % 7 AS q, source || ' ' || lang || ' AS' AS name, '9' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS org, source, lang FROM documents),
+r AS (SELECT *, CASE WHEN q IN (0, 1) THEN upper(name) || ' - home' WHEN q = 2 THEN 'Welcome to ' || lang ELSE 'site' END AS title, CASE WHEN q IN (0, 3) THEN 'www.' || source || lang || '.no' WHEN q = 4 THEN 'proff.no' WHEN q = 5 THEN lang || '-' || source || '.com' ELSE 'other.no' END AS host,
+  CASE WHEN q = 0 THEN 'offices in Oslo' WHEN q IN (3, 5) THEN 'Org.nr ' || org WHEN q = 2 THEN 'by ' || source WHEN q = 6 THEN source || ', ' || lang || ', Bergen and Oslo' ELSE 'none' END AS snippet FROM x),
+t AS (SELECT *, list_filter({_WORDS.format("name")}, lambda w: NOT list_contains({list(vocab.SEARCH_GENERIC)}, w)) AS core, {_WORDS.format("title")} AS titled, regexp_replace(host, '^www[.]', '') AS bare, {_WORDS.format("snippet")} AS said FROM r),
+u AS (SELECT *, {_WORDS.format("bare")} AS hosted, len(list_filter(core, lambda w: NOT list_contains(titled, w))) = 0 AS in_title, contains(regexp_replace(title || ' ' || snippet, '[^0-9]', '', 'g'), org) AS numbered FROM t),
+v AS (SELECT *, len(list_filter(core, lambda w: NOT list_contains(list_concat(titled, said, hosted), w))) = 0 AS everywhere, contains(array_to_string(hosted, ''), array_to_string(core, '')) AS in_host, list_contains(said, 'oslo') AS near FROM u),
+w AS (SELECT *, CASE WHEN bare = 'proff.no' THEN 0 ELSE least(100, CASE WHEN numbered THEN 75 ELSE 0 END + CASE WHEN in_title THEN 45 WHEN everywhere THEN 25 ELSE 0 END + CASE WHEN in_host THEN 30 ELSE 0 END + CASE WHEN near THEN 10 ELSE 0 END) END AS points FROM v)
+SELECT doc_id, CAST(points / 100 AS DOUBLE) AS score, points >= 75 AND in_host AND (numbered OR in_title) AS publishable, CASE WHEN points >= 75 AND in_host AND (numbered OR in_title) THEN 'accepted_for_crawl' WHEN points >= 60 THEN 'review' ELSE 'rejected' END AS status FROM w""")
 def search_candidate_score(spark: SparkSession, d: str) -> DataFrame:
-    q = F.col("doc_id") % 4
-    x = table(spark, d, "documents").select("doc_id", F.col("source").alias("name"), F.when(q < 2, F.concat("source", F.lit(" site"))).otherwise("site").alias("title"), F.when(q % 2 == 0, F.concat(F.lit("https://"), "source", F.lit(".example/"))).otherwise("https://other.example/").alias("url"), F.when(q == 0, "in Oslo").when(q > 1, F.col("source")).otherwise("none").alias("snippet"))
-    s = resolve.search_score(F.col("name"), F.lit(""), F.lit("Oslo"), F.col("url"), F.col("title"), F.col("snippet"))
-    return x.select("doc_id", s["score"].alias("score"))
+    """A search result for each document's source: title, host, number and place say it is the one, in seven mixtures."""
+    pick = lambda *cases: F.coalesce(*[F.when(F.col("doc_id") % 7 == k, v) for ks, v in cases[:-1] for k in ks], cases[-1])
+    name, org = F.concat_ws(" ", "source", "lang", F.lit("AS")), F.concat(F.lit("9"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    title = pick(((0, 1), F.concat(F.upper(name), F.lit(" - home"))), ((2,), F.concat(F.lit("Welcome to "), "lang")), F.lit("site"))
+    host = pick(((0, 3), F.concat(F.lit("www."), "source", "lang", F.lit(".no"))), ((4,), F.lit("proff.no")), ((5,), F.concat("lang", F.lit("-"), "source", F.lit(".com"))), F.lit("other.no"))
+    said = pick(((0,), F.lit("offices in Oslo")), ((3, 5), F.concat(F.lit("Org.nr "), org)), ((2,), F.concat(F.lit("by "), "source")), ((6,), F.concat("source", F.lit(", "), "lang", F.lit(", Bergen and Oslo"))), F.lit("none"))
+    x = table(spark, d, "documents").select("doc_id", name.alias("name"), org.alias("org"), title.alias("title"), F.concat(F.lit("https://"), host, F.lit("/")).alias("url"), said.alias("snippet"))
+    s = resolve.search_score(F.col("name"), F.col("org"), F.lit("Oslo"), F.col("url"), F.col("title"), F.col("snippet"))
+    return x.select("doc_id", s.alias("s")).select("doc_id", F.col("s.score").cast("double").alias("score"), "s.publishable", "s.status")
 
 
 @query("""
@@ -660,17 +705,137 @@ def link_resolve(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(k.alias("k"), url.absolute(F.lit("https://x.no/a/b/c"), F.concat(F.element_at(forms, (k % 6 + 1).cast("int")), k.cast("string"))).alias("url"))
 
 
-@query()
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def events_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The last event per user through a stream of files and versions of a state table."""
+    """The last event per user through a stream of files, two a batch, and a state table by buckets of users."""
     import uuid
 
-    from claimloom.streaming import changelog
+    work = f"{shared_dir(spark)}/claimloom-stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    events.repartition(4, "event_id").write.parquet(f"{work}/in")
+    changelog.upsert(changelog.read_feed(spark, f"{work}/in", events.schema, files=2), f"{work}/state", ["user_id"], ["ts", "event_id"], f"{work}/checkpoint").awaitTermination()
+    return changelog.read_state(spark, f"{work}/state", events.schema).select("user_id", "event_id", "event_type", "value")
+
+
+# claims with their evidence
+
+
+def register_records(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as records of a register: bodies of JSON as sent, with their address, hash and time."""
+    k = F.col("c_custkey")
+    names = F.array(F.struct(F.concat(F.lit("Old "), "c_name").alias("navn"), F.lit("1990-01-01T00:00").alias("fraDato"), F.lit("1995-06-30T00:00").alias("tilDato")))
+    body = F.to_json(F.struct(
+        F.lpad(k.cast("string"), 9, "0").alias("organisasjonsnummer"), F.col("c_name").alias("navn"), F.struct(F.lit("AS").alias("kode"), F.lit("Aksjeselskap").alias("beskrivelse")).alias("organisasjonsform"),
+        F.when(k % 2 == 0, k.cast("int")).alias("antallAnsatte"), (k % 4 == 0).alias("harRegistrertAntallAnsatte"), (k % 11 == 0).alias("konkurs"), F.struct(F.col("c_nationkey").cast("double").alias("belop")).alias("kapital"),
+        F.when(k % 3 == 0, "2023").alias("sisteInnsendteAarsregnskap"), F.when(k % 7 == 0, names).alias("historiskeNavn"),
+    ))
+    rows = table(spark, d, "customer").select(F.lpad(k.cast("string"), 9, "0").alias("org"), body.alias("body"))
+    return rows.withColumns({"raw": F.col("body"), "source_url": F.concat(F.lit("https://register.example/"), "org"), "source_class": F.lit("official_registry"), "retrieved_at": F.lit("2024-01-01T00:00:00Z"), "content_sha256": F.sha2("body", 256)})
+
+
+_BODY = """(SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS org, c_custkey AS k, c_name, c_nationkey,
+  '{"organisasjonsnummer":"' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '","navn":"' || c_name || '","organisasjonsform":{"kode":"AS","beskrivelse":"Aksjeselskap"}' || CASE WHEN c_custkey % 2 = 0 THEN ',"antallAnsatte":' || c_custkey ELSE '' END
+  || ',"harRegistrertAntallAnsatte":' || CAST(c_custkey % 4 = 0 AS VARCHAR) || ',"konkurs":' || CAST(c_custkey % 11 = 0 AS VARCHAR) || ',"kapital":{"belop":' || CAST(CAST(c_nationkey AS DOUBLE) AS VARCHAR) || '}' || CASE WHEN c_custkey % 3 = 0 THEN ',"sisteInnsendteAarsregnskap":"2023"' ELSE '' END
+  || CASE WHEN c_custkey % 7 = 0 THEN ',"historiskeNavn":[{"navn":"Old ' || c_name || '","fraDato":"1990-01-01T00:00","tilDato":"1995-06-30T00:00"}]' ELSE '' END || '}' AS body FROM customer)"""
+_CITED = f"""
+WITH b AS {_BODY},
+f AS (SELECT org, k, body, 'legal_identity' AS family, unnest(['legal_name', 'organisation_number', 'legal_form', 'legal_form_label', 'bankrupt', 'share_capital', 'registered_employees']) AS field,
+   unnest(['navn', 'organisasjonsnummer', 'organisasjonsform.kode', 'organisasjonsform.beskrivelse', 'konkurs', 'kapital.belop', 'antallAnsatte']) AS path,
+   unnest(['"' || c_name || '"', '"' || org || '"', '"AS"', '"Aksjeselskap"', CAST(k % 11 = 0 AS VARCHAR), CAST(CAST(c_nationkey AS DOUBLE) AS VARCHAR), CASE WHEN k % 4 = 0 THEN CAST(k AS VARCHAR) END]) AS value_json FROM b),
+i AS (SELECT org, family, field, value_json, '"' || field || '"' AS identity, '$.' || path AS locator, '"' || string_split(path, '.')[-1] || '":' || value_json AS claim_span, body FROM f WHERE value_json IS NOT NULL
+  UNION ALL SELECT org, 'public_brand', 'previous_legal_name', '{{"from": "1990-01-01", "name": "Old ' || c_name || '", "to": "1995-06-30"}}', '["previous_legal_name", "old ' || lower(c_name) || '"]', '$.historiskeNavn[0]', '"navn":"Old ' || c_name || '"', body FROM b WHERE k % 7 = 0
+  UNION ALL SELECT org, 'filing_history', 'latest_submitted_accounts_year', '"2023"', '"latest_submitted_accounts_year"', '$.sisteInnsendteAarsregnskap', '"sisteInnsendteAarsregnskap":"2023"', body FROM b WHERE k % 3 = 0)
+SELECT org, family, field, value_json, 'cl-' || left(sha256(org || '|' || family || '|' || field || '|' || identity), 16) AS claim_id, 'ev-' || left(sha256('"https://register.example/' || org || '"|"' || sha256(body) || '"|"brreg_entity_json_v1"'), 16) AS evidence_id, locator, claim_span, 'source_text' AS span_kind FROM i"""
+
+
+@query(_CITED)
+def claims_with_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Identity, former names and filings of every record, each cited to it with the very words that say so."""
+    entities = normalise.entity(register_records(spark, d))
+    found = builders.identity(entities).unionByName(builders.filings(entities), allowMissingColumns=True)
+    return found.select("org", "family", "field", "value_json", "claim_id", F.element_at("evidence_ids", 1).alias("evidence_id"), "locator", "claim_span", "span_kind")
+
+
+@query(f"""
+WITH b AS {_BODY}
+SELECT org, 'ev-' || left(sha256('"https://register.example/' || org || '"|"' || sha256(body) || '"|"brreg_entity_json_v1"'), 16) AS id, 'https://register.example/' || org AS final_url, sha256(body) AS content_sha256, '"organisasjonsnummer":"' || org || '"' AS claim_span,
+  'raw/' || left(sha256(body), 2) || '/' || sha256(body) AS snapshot_path, 'Brønnøysund Register Centre open data, NLOD 2.0' AS rights FROM b""")
+def evidence_table(spark: SparkSession, d: str) -> DataFrame:
+    """A row of evidence for each record, whatever number of claims and readers cite it."""
+    records = evidence.records(register_records(spark, d), "brreg_entity_json_v1")
+    return evidence.first_wins(records, records).select("org", "id", "final_url", "content_sha256", "claim_span", "snapshot_path", "rights")
+
+
+@query("""
+WITH s AS (SELECT CAST(s_nationkey AS VARCHAR) AS org, CAST(s_suppkey AS VARCHAR) AS sub, s_name FROM supplier),
+l AS (SELECT 'n' || n_nationkey AS org, 'parent' AS relation, 'r' || n_regionkey AS organisation_number, r_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT 'n' || org, 'subsidiary', 's' || sub, s_name FROM s)
+SELECT org, relation, organisation_number, name, 'Eierskap' AS ownership_basis FROM l""")
+def group_links(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each nation as its register sends it, a tree of its region, itself and its suppliers: parents and subsidiaries."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    below = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(name("s", "s_suppkey").alias("organisasjonsnummer"), F.col("s_name").alias("navn"), name("n", "s_nationkey").alias("parentOrganisasjonsnummer"), F.lit("Eierskap").alias("grunnlag"))).alias("barn"))
+    own = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(below, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    node = F.struct(name("n", "n_nationkey").alias("organisasjonsnummer"), F.col("n_name").alias("navn"), name("r", "n_regionkey").alias("parentOrganisasjonsnummer"), F.col("r_name").alias("parentNavn"), F.lit("Eierskap").alias("grunnlag"), "barn")
+    raw = own.select(name("n", "n_nationkey").alias("org"), F.to_json(F.struct(F.struct(node.alias("konsern")).alias("data"))).alias("body"))
+    return normalise.group_links(raw, "org", most=100_000).select("org", "relation", "organisation_number", "name", "ownership_basis")
+
+
+@query(f"""
+WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Just a moment...' WHEN 1 THEN 'Access denied | ' || {_HOST} WHEN 2 THEN 'Index of /files' WHEN 3 THEN 'Just a moment of rest' ELSE 'Welcome' END AS title, CASE WHEN page_id % 2 = 0 THEN 'short text' WHEN page_id % 7 = 1 THEN 'This domain is for sale' ELSE {_STRIP} END AS body FROM pages)
+SELECT page_id, page_id % 5 IN (0, 1) AND length(trim(body)) < 200 AS challenge, page_id % 5 = 2 OR contains(lower(title || ' ' || body), 'domain is for sale') AS parked FROM p""")
+def page_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages under titles of challenges and of servers without a site, with short and with their own text."""
+    k = F.col("page_id")
+    title = F.when(k % 5 == 0, "Just a moment...").when(k % 5 == 1, F.concat(F.lit("Access denied | "), url.host(F.col("url")))).when(k % 5 == 2, "Index of /files").when(k % 5 == 3, "Just a moment of rest").otherwise("Welcome")
+    body = F.when(k % 2 == 0, "short text").when(k % 7 == 1, "This domain is for sale").otherwise(html.strip_tags(F.col("html")))
+    p = table(spark, d, "pages").select("page_id", title.alias("title"), body.alias("body"))
+    return p.select("page_id", html.is_bot_challenge(F.col("title"), F.col("body")).alias("challenge"), html.is_parked(F.col("title"), F.col("body")).alias("parked"))
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    work = f"{base}/claimloom-stream-{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
-    table(spark, d, "events").write.parquet(f"{work}/in")
-    changelog.upsert(changelog.read_feed(spark, f"{work}/in", schema), f"{work}/state", ["user_id"], ["ts", "event_id"], f"{work}/checkpoint").awaitTermination()
-    versions = spark.read.json(f"{work}/state-status").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{work}/state/version={versions}").select("user_id", "event_id", "event_type", "value")
+@query("""
+WITH c AS (SELECT c_custkey AS k, lpad(CAST(c_custkey AS VARCHAR), 9, '8') AS org FROM customer),
+t AS (SELECT k, CASE k % 3 WHEN 0 THEN 'Org.nr ' || org[1:3] || ' ' || org[4:6] || ' ' || org[7:9] WHEN 1 THEN 'Org.nr 111222333' ELSE 'Org.nr ' || org END || CASE WHEN k % 2 = 0 THEN ' Tlf 22 33 44 55' ELSE '' END AS text FROM c)
+SELECT k, 'organisation_number' AS marker, text FROM t WHERE k % 3 <> 1 UNION ALL SELECT k, 'phone', text FROM t WHERE k % 2 = 0""")
+def marker_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Footers that show a number of the company, of another, or a phone: the words around what was found."""
+    k = F.col("c_custkey")
+    org = F.lpad(k.cast("string"), 9, "8")
+    apart = F.concat_ws(" ", F.substring(org, 1, 3), F.substring(org, 4, 3), F.substring(org, 7, 3))
+    shown = F.when(k % 3 == 0, apart).when(k % 3 == 1, "111222333").otherwise(org)
+    page = F.concat(F.lit("<footer><script>var n = 1;</script><p>Org.nr "), shown, F.lit("</p>"), F.when(k % 2 == 0, "<b>Tlf&nbsp;22 33 44 55</b>").otherwise(""), F.lit("</footer>"))
+    found = html.marker_snippets(page, org, F.array(F.lit("+47 22334455")), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return table(spark, d, "customer").select(k.alias("k"), F.explode(found).alias("f")).select("k", "f.marker", "f.text")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, 'https://x' || c_custkey || '.no' AS base FROM customer)
+SELECT k, base || '/' AS page, category, base || path AS url, score FROM c, (VALUES
+  (0, 'about', '/om-oss', 1), (0, 'contact', '/side/7', 7), (0, 'careers', '/a/ledige-stillinger', 2), (0, 'news', '/nyheter', 1),
+  (1, 'careers', '/x', 6), (1, 'news', '/presse/arkiv', 2), (2, 'people', '/ansatte', 1)) AS v(q, category, path, score) WHERE k % 3 = q""")
+def priority_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links of three kinds of home pages: by path and by label, relative and absolute, with files, other hosts and itself."""
+    pages = (
+        '<a href="om-oss">Om</a><a href="/b/c/about">x</a><a href="/side/7?x=1">Kontakt oss</a><a href="a/ledige-stillinger#top">y</a><a href="/nyheter">n</a><a href="/presse.pdf">p</a><a href="/">Ansatte</a>',
+        '<a href="https://other.no/om-oss">x</a><a href="/x">Ledige stillinger</a><a href="/bestilling">Bestilling</a><a href="//HOST/presse/arkiv">z</a><a href="mailto:kontakt@x.no">m</a>',
+        '<a href="https://www.HOST/ansatte">folk</a><a href="/team/1/2">t</a><a href="/utstilling">u</a>',
+    )
+    k = F.col("c_custkey")
+    host = F.concat(F.lit("x"), k.cast("string"), F.lit(".no"))
+    markup = F.replace(F.element_at(F.array(*map(F.lit, pages)), (k % 3 + 1).cast("int")), F.lit("HOST"), host)
+    got = resolve.priority_links(table(spark, d, "customer").select(F.concat(F.lit("https://"), host, F.lit("/")).alias("url"), markup.alias("html")))
+    number = F.regexp_extract("page", "x([0-9]+)", 1).cast("long")
+    return got.select(number.alias("k"), "page", "category", F.replace("url", F.lit("https://www."), F.lit("https://")).alias("url"), "score")
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'extra' WHEN s_suppkey % 7 = 0 THEN 'missing' WHEN s_suppkey % 3 = 0 THEN 'different' WHEN s_suppkey % 2 = 0 THEN 'reordered' ELSE 'equal' END AS verdict FROM supplier WHERE NOT (s_suppkey % 5 = 0 AND s_suppkey % 7 = 0)""")
+def compared_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Records of two runs: what belongs to a run does not count, nested fields and orders of lists do."""
+    k = F.col("s_suppkey")
+    record = lambda run, name, items: F.struct(F.lit(run).alias("run_id"), name.alias("name"), items.alias("claims"), F.struct(F.lit(run).alias("retrieved_at"), F.col("s_nationkey").alias("nation")).alias("source"))
+    two = F.array(F.col("s_name"), F.lit("b"))
+    s = table(spark, d, "supplier")
+    a = s.filter("s_suppkey % 5 <> 0").select("s_suppkey", record("r1", F.col("s_name"), two).alias("record"))
+    b = s.filter("s_suppkey % 7 <> 0").select("s_suppkey", record("r2", F.when(k % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")), F.when(k % 2 == 0, F.reverse(two)).otherwise(two)).alias("record"))
+    return refresh.compare_runs(a, b, "s_suppkey")
