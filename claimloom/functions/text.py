@@ -26,16 +26,12 @@ _RARE = "[" + "".join(_MANY) + "]"
 
 def fold(c: Column) -> Column:
     """Letters without marks, in lower case; æ is ae, and what has no plain form goes."""
+    c = F.coalesce(c, F.lit(""))
+    # the few characters that stand for several are looked up one by one, and only in texts that hold any
     table = F.str_to_map(F.lit("\x1e".join(map("\x1f".join, _MANY.items()))), F.lit("\x1e"), F.lit("\x1f"))
-
-    def plain(x):
-        # the few characters that stand for several are looked up one by one, in texts that hold any
-        spelt = F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(table, y), y)), "")
-        out = F.translate(F.when(x.rlike(_RARE), spelt).otherwise(x), "".join(_ONE), "".join(_ONE.values()))
-        return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, r"[^\x00-\x7F]", "")).otherwise(x)
-
-    # bound to a name by an array of one, so that the expression is worked out once
-    return F.lower(F.element_at(F.transform(F.array(F.coalesce(c, F.lit(""))), plain), 1))
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    plain = F.translate(F.when(c.rlike(_RARE), spelt).otherwise(c), "".join(_ONE), "".join(_ONE.values()))
+    return F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
 
 
 def words(c: Column) -> Column:

@@ -35,10 +35,11 @@ def figures(accounts: DataFrame, org: str, period: str, currency: str, account_t
     Rows that are source records (evidence.RECORD) give claims with the words of the figure as filed.
     """
     shown = [c for c in vocab.FIGURES if c in accounts.columns]
+    quoted_as = lambda c: quotes.quote_json(F.col("raw"), vocab.FIGURES[c], ids.json_double(F.col(c).cast("double")), suffix=suffix) if "raw" in accounts.columns else F.lit(None).cast("struct<text:string,exact:boolean>")
     rows = evidence.with_record(accounts)
     place = F.col("pos") if "pos" in accounts.columns else F.lit(None).cast("int")
     suffix = F.concat(F.lit(" (regnskapsperiode "), F.coalesce(F.col(period), F.lit("None")), F.lit(")"))
-    cells = [F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("amount"), quotes.quote_json(F.col("raw"), vocab.FIGURES[c], ids.json_double(F.col(c).cast("double")), suffix=suffix).alias("quote")) for c in shown]
+    cells = [F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("amount"), quoted_as(c).alias("quote")) for c in shown]
     rows = rows.select(
         F.col(org).cast("string").alias("org"), F.col(period).alias("reporting_period"), F.col(currency).alias("currency"), F.col(account_type).alias("account_type"),
         evidence.evidence_of("brreg_regnskap_json_v1").alias("_e"), place.alias("_at"), F.explode(F.filter(F.array(*cells), lambda x: x["amount"].isNotNull())).alias("c"),
