@@ -16,6 +16,7 @@ change the rows that come out); an empty table gives an empty table; other colum
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +98,14 @@ def source_targets(sizes: DataFrame, weights: list[float], repeat_cap: float = 3
 
 def time_reached(part: Column, curve: Column) -> Column:
     """The time at which a demand curve (at STEPS + 1 even steps) reaches a part of its target: the curve inverted."""
-    k = F.least(F.lit(STEPS), F.greatest(F.lit(1), F.size(F.filter(curve, lambda g: g <= part))))
-    low, high = F.element_at(curve, k), F.element_at(curve, k + 1)
-    return (k - 1 + F.when(high > low, (part - low) / (high - low)).otherwise(F.lit(0.0))) / STEPS
+    step = F.least(F.lit(STEPS), F.greatest(F.lit(1), F.size(F.filter(curve, lambda g: g <= part))))
+
+    def between(k):
+        low, high = F.element_at(curve, k), F.element_at(curve, k + 1)
+        return (k - 1 + F.when(high > low, (part - low) / (high - low)).otherwise(F.lit(0.0))) / STEPS
+
+    # bound to a name by an array of one, so that the curve is searched once
+    return F.element_at(F.transform(F.array(step), between), 1)
 
 
 def content_key(docs: DataFrame, id_col: str) -> Column:
@@ -135,10 +141,12 @@ def positions(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     passes = F.floor((F.col("_target") - middle) / F.nullif(F.col("_source_size"), F.lit(0))) + 1
     copies = F.greatest(F.lit(0), F.least(F.lit(math.ceil(repeat_cap)), F.coalesce(passes, F.lit(0)))).cast("int")
     docs = docs.withColumn("_copies", copies).withColumn("_middle", middle)
-    curve = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in curves]), F.col("_turn") + 1)
+    # read from a literal once a row, not once a use
+    docs = docs.withColumn("_curve", F.element_at(F.from_json(F.lit(json.dumps(curves)), "array<array<double>>"), F.col("_turn") + 1))
+    curve = F.col("_curve")
     when_reached = lambda e: time_reached((e * F.col("_source_size") + F.col("_middle")) / F.col("_target"), curve)
     places = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), when_reached)).otherwise(F.array().cast("array<double>"))
-    return docs.withColumn("_positions", places).drop("_src", "_bucket", "_before", "_offset", "_middle", "_turn")
+    return docs.withColumn("_positions", places).drop("_src", "_bucket", "_before", "_offset", "_middle", "_turn", "_curve")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size=None, **how) -> DataFrame:
