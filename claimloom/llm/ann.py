@@ -177,10 +177,10 @@ class Graph:
                 if not nearer.any():
                     break
                 at, best = np.where(nearer, np.take_along_axis(found, k, 1), at), np.where(nearer, np.take_along_axis(d, k, 1), best)
-        seen = np.zeros((b, n), bool)
+        seen = np.zeros((b, n + 1), bool)  # the last is for no node
         first = np.hstack([at, np.broadcast_to(self.starts, (b, len(self.starts)))])
         first[:, 1:][first[:, 1:] == first[:, :1]] = -1
-        seen[rows, np.maximum(first, 0)] |= first >= 0
+        seen[rows, np.where(first >= 0, first, n)] = True
         nodes, d = np.full((b, ef), -1), np.full((b, ef), np.inf, np.float32)
         spent = np.zeros((b, ef), bool)
         nodes, d, spent = self._merge(nodes, d, spent, first, apart(first), ef)
@@ -195,9 +195,8 @@ class Graph:
             came = []
             for k in range(step):
                 found = np.where(alive[:, k : k + 1], self.links(np.maximum(nodes[np.arange(b), picked[:, k]], 0), 0), -1)
-                safe = np.maximum(found, 0)
-                found = np.where(seen[rows, safe], -1, found)
-                seen[rows, safe] |= found >= 0
+                found = np.where(seen[rows, np.where(found >= 0, found, n)], -1, found)
+                seen[rows, np.where(found >= 0, found, n)] = True
                 came.append(found)
             came = np.hstack(came)
             nodes, d, spent = self._merge(nodes, d, spent, came, apart(came), ef)
