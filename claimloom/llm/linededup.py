@@ -20,8 +20,8 @@ what is to be cut from them; the texts of the others stay where they are.
 A line that is deleted has an equal line at an earlier place, and the earliest place of a line is never deleted, so every
 line of the corpus survives somewhere. Places are in order of doc_id, then of the text's hash, then of the line.
 
-Defined cases: null texts stay null and have no lines; lines without a word are never compared, and go only between two
-deleted lines of one run; lines are compared without white space at their ends; a text all of whose lines repeat becomes
+Defined cases: null texts stay null and have no lines; lines without a word are never compared, and go where the
+nearest lines with words on both sides go; lines are compared without white space at their ends; a text all of whose lines repeat becomes
 empty, its row stays; rows repeated with the same id and text are one document, given repeatedly, and come out alike;
 null ids are one id, the first; an empty table gives an empty table; other columns are carried along untouched.
 """
@@ -44,9 +44,9 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def measured(found: DataFrame) -> DataFrame:
-    """Lines by document, each once, with the words before them (_start) and up to their end (_stop)."""
-    order = Window.partitionBy(*DOC).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("_stop", F.sum("_words").over(order))
+    """Lines by document, each once, with their number and the words before them (_start) and up to their end (_stop)."""
+    order = Window.partitionBy(*DOC).orderBy("_at")
+    found = found.withColumns({"_no": F.row_number().over(order), "_stop": F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     # starts increase strictly: every line here has a word
     return found.withColumn("_start", F.col("_stop") - F.col("_words"))
 
@@ -69,19 +69,19 @@ def shared(selected: DataFrame) -> DataFrame:
 
 
 def extensions(found: DataFrame, places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_from, _to, _n, _key: the runs around the places that just hold min_words words, from a line on and up to a line."""
+    """_a, _b, _from, _to, _n, _key: the runs (numbers of their lines, and positions) around the places that just hold min_words words, from a line on and up to a line."""
     both = found.withColumn("_hit", F.lit(False)).unionByName(places.withColumns({"_words": F.lit(None).cast("int"), "_hit": F.lit(True)}))
     both = both.repartition(*DOC).groupBy(*DOC, "_at").agg(F.max("_hash").alias("_hash"), F.max("_words").alias("_words"), F.max("_hit").alias("_hit"))
     # documents without any such place are done
     both = measured(both.withColumn("_any", F.max("_hit").over(Window.partitionBy(*DOC))).filter("_any").drop("_any"))
     ahead = Window.partitionBy(*DOC).orderBy("_start").rangeBetween(0, min_words - 1)
     behind = Window.partitionBy(*DOC).orderBy("_stop").rangeBetween(1 - min_words, 0)
-    run = lambda over: F.struct(F.min("_at").over(over).alias("_from"), F.max("_at").over(over).alias("_to"), F.sum("_words").over(over).alias("_held"), F.max("_hit").over(over).alias("_hit"), F.collect_list("_hash").over(over).alias("_inside"))
+    run = lambda over: F.struct(F.min("_no").over(over).alias("_a"), F.max("_no").over(over).alias("_b"), F.min("_at").over(over).alias("_from"), F.max("_at").over(over).alias("_to"), F.sum("_words").over(over).alias("_held"), F.max("_hit").over(over).alias("_hit"), F.collect_list("_hash").over(over).alias("_inside"))
     both = both.select(*DOC, "_words", run(ahead).alias("_ahead"), run(behind).alias("_behind"))
     # a run that ends here and is the shortest from its first line too is there already
     twice = F.when(F.col("_behind._held") - F.col("_words") >= min_words, F.col("_behind"))
     both = both.select(*DOC, F.explode(F.array("_ahead", twice)).alias("_run")).select(*DOC, "_run.*").filter((F.col("_held") >= min_words) & F.col("_hit"))
-    return both.select(*DOC, "_from", "_to", F.size("_inside").alias("_n"), F.xxhash64("_inside").alias("_key"))
+    return both.select(*DOC, "_a", "_b", "_from", "_to", F.size("_inside").alias("_n"), F.xxhash64("_inside").alias("_key"))
 
 
 def repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -90,14 +90,14 @@ def repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     around = materialise(extensions(found, places, min_words))
     key, place = ["_n", "_key"], F.struct(*DOC, "_from")
     firsts = around.groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_places")).filter("_places > 1").drop("_places")
-    return joined(around.join(materialise(firsts), key).filter(~place.eqNullSafe(F.col("_first"))).select(*DOC, "_from", "_to"))
+    return joined(around.join(materialise(firsts), key).filter(~place.eqNullSafe(F.col("_first"))).select(*DOC, "_a", "_b", "_from", "_to"))
 
 
 def joined(runs: DataFrame) -> DataFrame:
-    """Runs joined where they touch."""
-    order = Window.partitionBy(*DOC).orderBy("_from", "_to")
-    reached = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("_new", F.when(F.col("_from") <= reached + 1, 0).otherwise(1))
+    """Runs joined where they touch: where no line with a word is between them."""
+    order = Window.partitionBy(*DOC).orderBy("_a", "_b")
+    reached = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("_new", F.when(F.col("_a") <= reached + 1, 0).otherwise(1))
     runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*DOC, "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
 

@@ -305,7 +305,8 @@ def test_toxicity_is_fair_to_group_mentions_in_each_language():
 
 
 def brute_lines(rows, min_words):
-    """By definition: a line goes if it is in a run of lines of min_words words or more that an earlier place has too."""
+    """By definition: a line goes if it is in a run of lines of min_words words or more that an earlier place has too; lines
+    without words between two such lines go with them."""
     docs = {}
     for i, t, _ in rows:
         if t is not None:
@@ -323,8 +324,11 @@ def brute_lines(rows, min_words):
         for a in range(len(ls)):
             for b in range(len(ls), a, -1):
                 if first.get(tuple(x[1] for x in ls[a:b]), (key, a)) != (key, a):
-                    cut[key].update(range(ls[a][0], ls[b - 1][0] + 1))
+                    cut[key].update(x[0] for x in ls[a:b])
                     break
+        for (one, _, _), (two, _, _) in zip(ls, ls[1:]):
+            if one in cut[key] and two in cut[key]:
+                cut[key].update(range(one, two))
     return {key: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut[key]) for key, t in docs.items()}
 
 
