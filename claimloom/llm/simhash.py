@@ -54,8 +54,9 @@ def fingerprints(text: pd.Series) -> pd.Series:
 def ball_links(nodes: DataFrame) -> DataFrame:
     """a < b: a link from every fingerprint (column fp, distinct) of a bucket to the least one in it."""
     bits = F.sequence(F.lit(-1), F.lit(63))
-    # a small table comes in few partitions, and each of its rows makes 65
-    variants = nodes.repartition("fp").select("fp", F.explode(bits).alias("bit")).select(
+    # a small table comes in few partitions, and each of its rows makes 65; a given number is not made smaller at run time
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = nodes.repartition(parts, "fp").select("fp", F.explode(bits).alias("bit")).select(
         F.when(F.col("bit") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, greatest(bit, 0))"))).alias("variant"),
         F.when(F.col("bit") < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, greatest(bit, 0))")).alias("mask"),
         (F.col("bit") < 0).cast("int").alias("self"),
