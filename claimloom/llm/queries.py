@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, chat, langid, linededup, media, mixing, packing, simhash, toxicity, urlfilter
+from claimloom.llm import ann, chat, langid, linededup, media, mixing, packing, simhash, tokencount, toxicity, urlfilter
 from claimloom.llm.common import table
 
 
@@ -69,7 +69,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, listed).drop("possible")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_chat, op3_media, op4_ann, op5_langid, op6_toxicity, op7_linededup, op8_packing, op9_simhash, op10_urls)}
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_chat, op3_media, op4_ann, op5_langid, op6_toxicity, op7_linededup, op8_packing, op9_simhash, op10_urls, op11_tokens)}
 
 _RULES = " UNION ALL ".join(f"SELECT '{w}' AS verdict, '{h}' AS h, '{p}' AS p" for w, h, p in urlfilter.RULES)
 
