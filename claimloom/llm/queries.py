@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, chat, langid, linededup, media, mixing, packing, repair, simhash, tokencount, toxicity, urlfilter
+from claimloom.llm import ann, chat, langid, linededup, media, mixing, packing, repair, simhash, tokencount, toxicity, tries, urlfilter
 from claimloom.llm.common import table
 
 
@@ -73,12 +73,16 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.report(table(spark, sf_dir, "documents"))
 
 
+def op12_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(*tries.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return repair.report(repair.damage(turns), turns)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_chat, op3_media, op4_ann, op5_langid, op6_toxicity, op7_linededup, op8_packing, op9_simhash, op10_urls, op11_tokens, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_chat, op3_media, op4_ann, op5_langid, op6_toxicity, op7_linededup, op8_packing, op9_simhash, op10_urls, op11_tokens, op12_tries, op13_repair)}
 
 _RULES = " UNION ALL ".join(f"SELECT '{w}' AS verdict, '{h}' AS h, '{p}' AS p" for w, h, p in urlfilter.RULES)
 
