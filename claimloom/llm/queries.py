@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import ann, chat, langid, linededup, media, mixing, packing, repair, simhash, tokencount, toxicity, tries, urlfilter
 from claimloom.llm.common import table
+from claimloom.llm.oracles import OP12_TRIES, OP13_REPAIR
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,8 @@ QUERIES = {f.__name__: f for f in (op1_mix, op2_chat, op3_media, op4_ann, op5_la
 _RULES = " UNION ALL ".join(f"SELECT '{w}' AS verdict, '{h}' AS h, '{p}' AS p" for w, h, p in urlfilter.RULES)
 
 ORACLES = {
+    "op12_tries": OP12_TRIES,
+    "op13_repair": OP13_REPAIR,
     "op10_urls": rf"""
 WITH parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

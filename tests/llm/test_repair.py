@@ -157,3 +157,21 @@ def test_ties_go_to_the_least_audit(spark, said, audit):
     roles = {"s": "system", "u": "user", "a": "assistant"}
     df = spark.createDataFrame([(1, k, roles[c], f"Said {k}.") for k, c in enumerate(said)], SCHEMA)
     assert repair.report(df, df).collect()[0]["audit"] == audit
+
+
+def test_sql_says_the_same(spark, tmp_path):
+    """Also of nulls, ties and copies, which the given table lacks."""
+    import duckdb
+
+    for path in ("/root/testdata/sf0.01/conversations.parquet", str(tmp_path / "made-up")):
+        if path.startswith("/root"):
+            df = spark.read.parquet(path)
+        else:
+            spark.createDataFrame(made_up(80), SCHEMA).write.parquet(path)
+            df = spark.read.parquet(path)
+        made = repair.report(repair.damage(df), df)
+        con = duckdb.connect()
+        con.sql(f"create view conversations as select * from read_parquet('{path}{'' if path.endswith('.parquet') else '/*.parquet'}')")
+        said = con.sql(queries.ORACLES["op13_repair"])
+        assert sorted(said.columns) == sorted(made.columns)
+        assert sorted(map(str, said.select(*made.columns).fetchall())) == sorted(str(tuple(r)) for r in made.collect())

@@ -131,3 +131,21 @@ def test_query_on_given_conversations(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert found(queries.op12_tries(spark, folder)) == trie(rebuild(conversations(rows)))
+
+
+def test_sql_says_the_same(spark, tmp_path):
+    """Also of nulls, ties and copies, which the given table lacks."""
+    import duckdb
+
+    for path in ("/root/testdata/sf0.01/conversations.parquet", str(tmp_path / "made-up")):
+        if path.startswith("/root"):
+            df = spark.read.parquet(path)
+        else:
+            spark.createDataFrame(made_up(), SCHEMA).write.parquet(path)
+            df = spark.read.parquet(path)
+        made = tries.prefix_trie(*tries.rebuilt(df))
+        con = duckdb.connect()
+        con.sql(f"create view conversations as select * from read_parquet('{path}{'' if path.endswith('.parquet') else '/*.parquet'}')")
+        said = con.sql(queries.ORACLES["op12_tries"])
+        assert sorted(said.columns) == sorted(made.columns)
+        assert sorted(map(str, said.select(*made.columns).fetchall())) == sorted(str(tuple(r)) for r in made.collect())
