@@ -83,13 +83,13 @@ def nullable_key(column: str | Column) -> Column:
 
 PROBES = 5
 KEYS_A_BLOCK = 4
-#: A filter has at most so many blocks (16 MB as a table), which is what makes it safe to broadcast.
+#: Filters of at most so many blocks (16 MB as a table) are broadcast.
 MAX_BLOCKS = 1 << 20
 
 
-def bloom_blocks(keys: int) -> int:
-    """The size of a filter for so many keys. With more than MAX_BLOCKS can hold it passes more, never less."""
-    return min(MAX_BLOCKS, max(1, keys // KEYS_A_BLOCK))
+def bloom_blocks(keys: int, most: int | None = None) -> int:
+    """The size of a filter for so many keys. One with less than it takes passes more, never less."""
+    return max(1, min(keys // KEYS_A_BLOCK, most or keys))
 
 
 def bloom_block(key: Column, blocks: int) -> Column:
@@ -114,8 +114,12 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 
 def may_hold(rows: DataFrame, key: Column, keys: DataFrame, blocks: int, out: str) -> DataFrame:
     """rows with the boolean column ``out``: whether the filter of keys passes ``key``; false for null."""
-    known = F.broadcast(bloom(keys, blocks))  # at most MAX_BLOCKS rows
-    rows = rows.withColumn("__probe", bloom_block(key, blocks)).withColumn("__mask", bloom_mask(key))
-    rows = rows.join(known, F.when(key.isNotNull(), F.col("__probe")) == F.col("__block"), "left")
+    known = bloom(keys, blocks)
+    if blocks <= MAX_BLOCKS:
+        known = F.broadcast(known)
+    # a larger filter is dealt by its blocks, and rows go to them; rows without a key meet none, wherever they are
+    nowhere = -1 - F.spark_partition_id()
+    rows = rows.withColumn("__probe", F.when(key.isNotNull(), bloom_block(key, blocks)).otherwise(nowhere)).withColumn("__mask", bloom_mask(key))
+    rows = rows.join(known, F.col("__probe") == F.col("__block"), "left")
     passes = F.col("__word").bitwiseAND(F.col("__mask")) == F.col("__mask")
     return rows.withColumn(out, F.coalesce(passes, F.lit(False))).drop("__probe", "__mask", "__block", "__word")

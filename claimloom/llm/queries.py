@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,19 +57,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
-#: The list of the URL query: of every section of a site (first folder of a path) the pages of these numbers.
-LISTED_FIRST, LISTED_STEP, LISTED_LAST = 5, 13, 9999
+#: The list of the URL query: the numbered pages of the sections of sites that are known for spam. Nothing of it comes from pages.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_UNDER, LISTED_ENDS, LISTED_SECTIONS, LISTED_LAST = ("", "blog."), ("com", "net", "org"), ("de", "en", "es", "fr"), 2499
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The list, as canonical URLs."""
+    parts = [[F.lit(x) for x in xs] for xs in (LISTED_UNDER, LISTED_SITES, LISTED_ENDS, LISTED_SECTIONS)]
+    sections = [F.concat(a, b, F.lit(".example."), c, F.lit("/"), d, F.lit("/")) for a, b, c, d in product(*parts)]
+    return spark.range(LISTED_LAST + 1).select("id", F.explode(F.array(*sections)).alias("section")).select(F.concat("section", F.col("id").cast("string")).alias("url"))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list does not depend on which pages there are: it names numbers in every section, several for each that exists."""
-    pages = table(spark, sf_dir, "pages")
-    host, path = urlfilter.host_path("url")
-    section = F.regexp_extract("path", "^/[^/]*/", 0)
-    sections = pages.select(host.alias("host"), path.alias("path")).filter((F.col("host") != "") & (section != "")).select(F.concat(urlfilter.canonical(F.col("host"), F.lit("")), section).alias("section")).distinct()
-    number = F.explode(F.sequence(F.lit(LISTED_FIRST), F.lit(LISTED_LAST), F.lit(LISTED_STEP)))
-    listed = sections.select("section", number.alias("number")).select(F.concat("section", F.col("number").cast("string")))
-    return urlfilter.judge(pages, listed).drop("possible")
+    """All pages against rules and a list of its own, whose size does not follow the pages."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), listed_urls(spark)).drop("possible")
 
 
 def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +101,10 @@ WITH parts AS (
   FROM pages),
 forms AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html?)+$', '') END AS canon FROM parts),
-sections AS (SELECT DISTINCT regexp_replace(host, '^(www|m)\.', '') || regexp_extract(path, '^/[^/]*/') AS section FROM parts WHERE host <> '' AND regexp_extract(path, '^/[^/]*/') <> ''),
-listed AS (SELECT section || n AS canon FROM sections, (SELECT unnest(range({LISTED_FIRST}, {LISTED_LAST + 1}, {LISTED_STEP})) AS n)),
+listed AS (
+  SELECT u || s || '.example.' || e || '/' || d || '/' || n AS canon
+  FROM (SELECT unnest({[*LISTED_UNDER]}) AS u), (SELECT unnest({[*LISTED_SITES]}) AS s), (SELECT unnest({[*LISTED_ENDS]}) AS e),
+       (SELECT unnest({[*LISTED_SECTIONS]}) AS d), (SELECT unnest(range({LISTED_LAST + 1})) AS n)),
 rules AS ({_RULES}),
 fits AS (
   SELECT f.page_id, f.host, f.path, r.h || r.p AS rule, r.verdict,

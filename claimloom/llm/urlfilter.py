@@ -3,8 +3,8 @@
 Rules on host and path come first, the longest that fits wins. What no rule covers is judged by a list of canonical URLs: a
 blocked Bloom filter of the listed passes possible hits on to an exact hash join with the list, which removes its false
 positives; the rest of the pages never meets the list. A block is one 64-bit word in which a URL sets PROBES bits.
-The filter has at most MAX_BLOCKS blocks (16 MB as a table), which is what makes it safe to broadcast; a longer list makes it
-pass more, never less, and the exact join decides.
+The filter grows with the list, so the share that it passes does not; up to MAX_BLOCKS blocks (16 MB as a table) it is broadcast,
+beyond that its blocks are dealt out by their number and the slim rows of pages go to them.
 
 Defined cases: a null URL and one without "://" have empty host and path, no rule fits, and it is allowed; duplicates in
 the list count once, nulls in it are ignored; repeated rows are judged one by one; an empty list blocks nothing; an empty
