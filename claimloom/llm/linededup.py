@@ -1,6 +1,7 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-The unit is a line that has a word; its hash stands for it. A window is the shortest run of lines from a line on that holds
+The unit is a line that has a word; its hash stands for it, and a second hash of another seed is compared as well before
+anything is cut: runs are the same if 128 bits of their content are. A window is the shortest run of lines from a line on that holds
 MIN_WORDS words. Of each window the least hash is selected, the last of equal ones: its line is a fingerprint of the document.
 Any run of MIN_WORDS words that two documents share holds a whole window of both, and that window selects the same line in
 both, so a shared run always has a fingerprint in common. Most windows select the line that their neighbour has selected.
@@ -31,16 +32,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import bloom_blocks, materialise, may_hold, word_count
+from claimloom.llm.common import MAX_BLOCKS, bloom_blocks, materialise, may_hold, word_count
 
 MIN_WORDS = 50
 DOC = ["_id", "_doc"]
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _doc, _at, _hash, _words: a row per line with a word. _doc tells texts of one id apart."""
+    """_id, _doc, _at, _hash, _check, _words: a row per line with a word. _doc tells texts of one id apart."""
     split = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_doc"), F.posexplode(F.split(text_col, "\n")).alias("_at", "_line"))
-    return split.select("_id", "_doc", "_at", F.xxhash64(F.trim("_line", F.lit(" \t\r\x0b\x0c"))).alias("_hash"), word_count("_line").cast("int").alias("_words")).filter("_words > 0")
+    line = F.trim("_line", F.lit(" \t\r\x0b\x0c"))
+    return split.select("_id", "_doc", "_at", F.xxhash64(line).alias("_hash"), F.xxhash64(F.lit("check"), line).alias("_check"), word_count("_line").cast("int").alias("_words")).filter("_words > 0")
 
 
 def measured(found: DataFrame) -> DataFrame:
@@ -69,26 +71,26 @@ def shared(selected: DataFrame) -> DataFrame:
 
 
 def extensions(found: DataFrame, places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_a, _b, _from, _to, _n, _key: the runs (numbers of their lines, and positions) around the places that just hold min_words words, from a line on and up to a line."""
-    both = found.withColumn("_hit", F.lit(False)).unionByName(places.withColumns({"_words": F.lit(None).cast("int"), "_hit": F.lit(True)}))
-    both = both.repartition(*DOC).groupBy(*DOC, "_at").agg(F.max("_hash").alias("_hash"), F.max("_words").alias("_words"), F.max("_hit").alias("_hit"))
+    """_a, _b, _from, _to, _n, _key, _also: the runs (numbers of their lines, and positions) around the places that just hold min_words words, from a line on and up to a line."""
+    both = found.withColumn("_hit", F.lit(False)).unionByName(places.withColumns({"_check": F.lit(None).cast("long"), "_words": F.lit(None).cast("int"), "_hit": F.lit(True)}))
+    both = both.repartition(*DOC).groupBy(*DOC, "_at").agg(F.max("_hash").alias("_hash"), F.max("_check").alias("_check"), F.max("_words").alias("_words"), F.max("_hit").alias("_hit"))
     # documents without any such place are done
     both = measured(both.withColumn("_any", F.max("_hit").over(Window.partitionBy(*DOC))).filter("_any").drop("_any"))
     ahead = Window.partitionBy(*DOC).orderBy("_start").rangeBetween(0, min_words - 1)
     behind = Window.partitionBy(*DOC).orderBy("_stop").rangeBetween(1 - min_words, 0)
-    run = lambda over: F.struct(F.min("_no").over(over).alias("_a"), F.max("_no").over(over).alias("_b"), F.min("_at").over(over).alias("_from"), F.max("_at").over(over).alias("_to"), F.sum("_words").over(over).alias("_held"), F.max("_hit").over(over).alias("_hit"), F.collect_list("_hash").over(over).alias("_inside"))
+    run = lambda over: F.struct(F.min("_no").over(over).alias("_a"), F.max("_no").over(over).alias("_b"), F.min("_at").over(over).alias("_from"), F.max("_at").over(over).alias("_to"), F.sum("_words").over(over).alias("_held"), F.max("_hit").over(over).alias("_hit"), F.collect_list("_hash").over(over).alias("_inside"), F.collect_list("_check").over(over).alias("_checks"))
     both = both.select(*DOC, "_words", run(ahead).alias("_ahead"), run(behind).alias("_behind"))
     # a run that ends here and is the shortest from its first line too is there already
     twice = F.when(F.col("_behind._held") - F.col("_words") >= min_words, F.col("_behind"))
     both = both.select(*DOC, F.explode(F.array("_ahead", twice)).alias("_run")).select(*DOC, "_run.*").filter((F.col("_held") >= min_words) & F.col("_hit"))
-    return both.select(*DOC, "_a", "_b", "_from", "_to", F.size("_inside").alias("_n"), F.xxhash64("_inside").alias("_key"))
+    return both.select(*DOC, "_a", "_b", "_from", "_to", F.size("_inside").alias("_n"), F.xxhash64("_inside").alias("_key"), F.xxhash64("_checks").alias("_also"))
 
 
 def repeats(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _doc, _from, _to: the runs of lines that repeat an earlier place, joined where they touch."""
     places = shared(materialise(fingerprints(found, min_words)))
     around = materialise(extensions(found, places, min_words))
-    key, place = ["_n", "_key"], F.struct(*DOC, "_from")
+    key, place = ["_n", "_key", "_also"], F.struct(*DOC, "_from")
     firsts = around.groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_places")).filter("_places > 1").drop("_places")
     return joined(around.join(materialise(firsts), key).filter(~place.eqNullSafe(F.col("_first"))).select(*DOC, "_a", "_b", "_from", "_to"))
 
@@ -108,7 +110,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     cuts = repeats(found, min_words).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("__runs"))
     cuts = materialise(cuts.withColumnsRenamed({"_id": "__id", "_doc": "__doc"}))
     own = docs.withColumn("__h", F.xxhash64(text_col))
-    rows = may_hold(own, F.when(F.col(text_col).isNotNull(), F.col("__h")), cuts.select("__doc"), bloom_blocks(cuts.count()), "__passes")
+    rows = may_hold(own, F.when(F.col(text_col).isNotNull(), F.col("__h")), cuts.select("__doc"), bloom_blocks(cuts.count(), MAX_BLOCKS), "__passes")
     passed, rest = rows.filter("__passes"), rows.filter("not __passes")
     cut = passed.join(cuts, passed[id_col].eqNullSafe(cuts["__id"]) & (passed["__h"] == cuts["__doc"]), "left").drop("__id", "__doc")
     out = cut.unionByName(rest.withColumn("__runs", F.lit(None).cast(cuts.schema["__runs"].dataType))).drop("__h", "__passes")
