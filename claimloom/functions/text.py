@@ -12,7 +12,7 @@ from claimloom.functions import vocab
 def _plain() -> tuple[dict[str, str], dict[str, str]]:
     """What characters beyond ASCII are without marks (compatibility decomposition): one character for one, and several for one."""
     one, many = {"ø": "o", "Ø": "O", "å": "a", "Å": "A"}, {"æ": "ae", "Æ": "AE"}
-    for c in map(chr, range(0x80, 0x10000)):
+    for c in map(chr, range(0x80, 0x20000)):
         if c not in one and c not in many and not 0xD800 <= ord(c) < 0xE000:
             seen = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
             if seen:
@@ -21,17 +21,42 @@ def _plain() -> tuple[dict[str, str], dict[str, str]]:
 
 
 _ONE, _MANY = _plain()
-_RARE = "[" + "".join(_MANY) + "]"
+
+
+def _ranges(chars) -> str:
+    """A character class of ranges: its members are tried one after the other, at every place of a text."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+_RARE = _ranges(_MANY)
+
+
+def bound(values: dict[str, Column], body) -> Column:
+    """body(row) with the values computed once each, however often body reads them."""
+    return F.element_at(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), 1)
 
 
 def fold(c: Column) -> Column:
     """Letters without marks, in lower case; æ is ae, and what has no plain form goes."""
-    c = F.coalesce(c, F.lit(""))
     # the few characters that stand for several are looked up one by one, and only in texts that hold any
     table = F.str_to_map(F.lit("\x1e".join(map("\x1f".join, _MANY.items()))), F.lit("\x1e"), F.lit("\x1f"))
-    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    plain = F.translate(F.when(c.rlike(_RARE), spelt).otherwise(c), "".join(_ONE), "".join(_ONE.values()))
-    return F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
+
+    beyond = lambda c: F.octet_length(c) > F.char_length(c)
+
+    def spelt(b):
+        # what is left beyond ASCII when single letters are done is little, so the class of rare ones meets little text
+        rare = F.regexp_replace(b["c"], r"[\x00-\x7F]+", "").rlike(_RARE)
+        told = F.array_join(F.transform(F.split(b["c"], ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+        return F.lower(F.when(beyond(b["c"]), F.regexp_replace(F.when(rare, told).otherwise(b["c"]), r"[^\x00-\x7F]+", "")).otherwise(b["c"]))
+
+    single = lambda b: F.when(beyond(b["c"]), F.translate(b["c"], "".join(_ONE), "".join(_ONE.values()))).otherwise(b["c"])
+    return bound({"c": bound({"c": F.coalesce(c, F.lit(""))}, single)}, spelt)
 
 
 def words(c: Column) -> Column:

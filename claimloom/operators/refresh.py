@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
-from claimloom.functions import ids, vocab
+from claimloom.functions import ids, tree, vocab
 from claimloom.session import store
 
 OPTIONAL = {"alias_of": "string", "signal": "string", "role_code": "string", "title": "string", "stale": "boolean", "evidence_ids": "array<string>"}
@@ -159,15 +159,14 @@ def record_diff(before: DataFrame, after: DataFrame, key: str, volatile: tuple[s
 RUN_SCOPED = ("run", "operations", "run_id", "started_at", "completed_at", "retrieved_at", "requests", "runtime_ms")
 
 
-def compare_runs(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """key, verdict of the records of two runs: equal, reordered (the same leaves in lists of another order), different, missing or extra."""
-    def seen(df, side):
-        own = leaves(df, key, RUN_SCOPED)
-        loose = F.struct(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), "value")
-        exact = F.sum(F.xxhash64("path", "value").cast("decimal(38,0)"))
-        return own.groupBy(key).agg(exact.alias(f"{side}_exact"), F.sum(F.xxhash64(loose).cast("decimal(38,0)")).alias(f"{side}_loose"))
+def compare_runs(before: DataFrame, after: DataFrame, key: str, body: str = "record") -> DataFrame:
+    """key, verdict, paths of the records of two runs, JSON texts of any shape: as tree.compared() says, or missing or extra.
 
-    both = seen(before, "a").join(seen(after, "b"), key, "full_outer")
-    c = F.col
-    verdict = F.when(c("a_exact").isNull(), "extra").when(c("b_exact").isNull(), "missing").when(c("a_exact") == c("b_exact"), "equal").when(c("a_loose") == c("b_loose"), "reordered").otherwise("different")
-    return both.select(key, verdict.alias("verdict"))
+    What belongs to a run does not count, wherever it stands.
+    """
+    side = lambda df, name: df.select(key, F.col(body).alias(name), F.lit(True).alias(f"{name}_here"))
+    both = side(before, "a").join(side(after, "b"), key, "full_outer")
+    found = both.withColumn("_x", tree.compared(F.col("a"), F.col("b"), RUN_SCOPED))
+    there = F.col("a_here").isNotNull() & F.col("b_here").isNotNull()
+    verdict = F.when(F.col("a_here").isNull(), "extra").when(F.col("b_here").isNull(), "missing").otherwise(F.col("_x.verdict"))
+    return found.select(key, verdict.alias("verdict"), F.when(there, F.col("_x.paths")).otherwise(F.array().cast("array<string>")).alias("paths"))

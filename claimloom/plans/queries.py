@@ -7,25 +7,12 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import html, ids, quotes, text, url, vocab
 from claimloom.operators import builders, claims, evidence, index, metrics, normalise, refresh, resolve, summary
-from claimloom.plans import query_language
+from claimloom.plans import query_language, site_queries  # noqa: F401  the latter registers its own
+from claimloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from claimloom.session import shared_dir, table
 from claimloom.sources import readers
 from claimloom.streaming import changelog
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 # sources
 
 
@@ -829,13 +816,21 @@ def priority_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'extra' WHEN s_suppkey % 7 = 0 THEN 'missing' WHEN s_suppkey % 3 = 0 THEN 'different' WHEN s_suppkey % 2 = 0 THEN 'reordered' ELSE 'equal' END AS verdict FROM supplier WHERE NOT (s_suppkey % 5 = 0 AND s_suppkey % 7 = 0)""")
+WITH r AS (SELECT *, s_suppkey % 3 = 0 AS renamed, s_suppkey % 2 = 0 AS turned, s_suppkey % 11 = 0 AS longer, s_suppkey % 13 = 0 AS swapped FROM supplier WHERE NOT (s_suppkey % 5 = 0 AND s_suppkey % 7 = 0)),
+p AS (SELECT *, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN [] ELSE list_filter([CASE WHEN swapped THEN '.claims[].id' END, CASE WHEN longer THEN '.claims[length]' END, CASE WHEN renamed THEN '.name' END], lambda x: x IS NOT NULL) END AS paths FROM r)
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'extra' WHEN s_suppkey % 7 = 0 THEN 'missing' WHEN len(paths) > 0 THEN 'different' WHEN turned THEN 'reordered' ELSE 'equal' END AS verdict, array_to_string(paths, ' ') AS paths FROM p""")
 def compared_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Records of two runs: what belongs to a run does not count, nested fields and orders of lists do."""
+    """Records of two runs as texts: what belongs to a run does not count, values and places do, the order of keys is told apart."""
     k = F.col("s_suppkey")
-    record = lambda run, name, items: F.struct(F.lit(run).alias("run_id"), name.alias("name"), items.alias("claims"), F.struct(F.lit(run).alias("retrieved_at"), F.col("s_nationkey").alias("nation")).alias("source"))
-    two = F.array(F.col("s_name"), F.lit("b"))
+    text_of = lambda *fields: F.to_json(F.struct(*fields))
+    claim = lambda n, run: F.struct(n.alias("id"), F.lit(run).alias("retrieved_at"), F.col("s_nationkey").alias("nation"))
+    first, second = F.concat("s_name", F.lit("-a")), F.concat("s_name", F.lit("-b"))
+    run = lambda r: F.lit(r).alias("run_id")
     s = table(spark, d, "supplier")
-    a = s.filter("s_suppkey % 5 <> 0").select("s_suppkey", record("r1", F.col("s_name"), two).alias("record"))
-    b = s.filter("s_suppkey % 7 <> 0").select("s_suppkey", record("r2", F.when(k % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")), F.when(k % 2 == 0, F.reverse(two)).otherwise(two)).alias("record"))
-    return refresh.compare_runs(a, b, "s_suppkey")
+    a = s.filter("s_suppkey % 5 <> 0").select("s_suppkey", text_of(run("r1"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.array(claim(first, "r1"), claim(second, "r1")).alias("claims")).alias("record"))
+    name = F.when(k % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")).alias("name")
+    both = F.when(k % 13 == 0, F.array(claim(second, "r2"), claim(first, "r2"))).otherwise(F.array(claim(first, "r2"), claim(second, "r2")))
+    listed = F.when(k % 11 == 0, F.concat(both, F.array(claim(F.lit("c"), "r2")))).otherwise(both).alias("claims")
+    turned = F.when(k % 2 == 0, text_of(listed, F.col("s_acctbal").alias("balance"), run("r2"), name)).otherwise(text_of(run("r2"), name, F.col("s_acctbal").alias("balance"), listed))
+    b = s.filter("s_suppkey % 7 <> 0").select("s_suppkey", turned.alias("record"))
+    return refresh.compare_runs(a, b, "s_suppkey").withColumn("paths", F.array_join("paths", " "))

@@ -166,7 +166,18 @@ def test_leaves_at_any_depth(spark):
     two = spark.createDataFrame([(1, (2, "r2", [("p", "t2"), ("Q", "t2"), ("s", "t2")]), {"z": 1}), (2, None, None)], schema)
     got = sorted((r["path"], r["before"], r["after"]) for r in refresh.record_diff(one, two, "k", refresh.RUN_SCOPED).collect())
     assert got == [("a.l[1].n", "q", "Q"), ("a.l[2].n", None, "s"), ("a.l[length]", "2", "3"), ("a.x", "1", "2")]
-    assert {r["k"]: r["verdict"] for r in refresh.compare_runs(one, two, "k").collect()} == {1: "different", 2: "equal"}
+
+
+def test_two_runs_are_compared_by_place(spark):
+    """Values that change places differ, in lists and between elements; only the order of an object's keys is reordered."""
+    cases = {
+        1: ('{"a":1,"b":[1,2]}', '{"b":[1,2],"a":1}', "reordered", []), 2: ('{"b":[1,2]}', '{"b":[2,1]}', "different", [".b[]"]),
+        3: ('{"l":[{"a":1,"b":2},{"a":3,"b":4}]}', '{"l":[{"a":1,"b":4},{"a":3,"b":2}]}', "different", [".l[].b"]), 4: ('{"a":1,"run_id":"x","e":[{"retrieved_at":1}]}', '{"a":1,"run_id":"y","e":[{"retrieved_at":2}]}', "equal", []),
+        5: ('{"l":[1]}', '{"l":[1,2],"n":null}', "different", [".l[length]", ".n"]), 6: ("not json", "not json", "equal", []), 7: (None, "{}", "different", []), 8: ("1", "true", "different", [""]), 9: ('{"a":{}}', '{"a":null}', "different", [".a"]),
+    }
+    side = lambda n: spark.createDataFrame([(k, c[n]) for k, c in cases.items()] + [(10 + n, "{}")], "k int, record string")
+    got = {r["k"]: (r["verdict"], r["paths"]) for r in refresh.compare_runs(side(0), side(1), "k").collect()}
+    assert got == {k: (c[2], c[3]) for k, c in cases.items()} | {10: ("missing", []), 11: ("extra", [])}
 
 
 def test_first_runs_change_nothing(spark):
