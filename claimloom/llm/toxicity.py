@@ -33,6 +33,8 @@ VOCABULARY = 4000
 #: Sentences of a text that are paired, at most (the smallest by a checksum), and words that are kept on either side of a term.
 SENTENCES, SPAN = 8, 20
 PENALTY, PAIR_PENALTY, ROUNDS, RATE = 2e-4, 5.0, 300, 0.3
+#: Weight of all sentences that name a group, of that of all texts.
+SHARE = 0.1
 
 #: Sets of terms that name groups of people, in the four languages of documents; within a set any may stand for any other.
 #: A term is in one set only: texts are not told apart by language.
@@ -109,9 +111,15 @@ def mentions(text: str | None, sets=IDENTITY) -> list[list[str]]:
 
 
 def swaps(sentences: list[list[str]], sets=IDENTITY) -> list[tuple[set[str], set[str]]]:
-    """Words of each sentence, and of it with the next term of the set in the place of each term."""
-    after = {t: s[(k + 1) % len(s)] for s in sets for k, t in enumerate(s)}
-    return [(set(words), {after.get(w, w) for w in words}) for words in sentences]
+    """Words of each sentence, and of it with another term of the set in the place of each term; which one, the sentence's
+    checksum says, so that all terms of a set are held together."""
+    place = {t: (s, k) for s in sets for k, t in enumerate(s) if len(s) > 1}
+    out = []
+    for words in sentences:
+        turn = zlib.crc32(" ".join(words).encode("utf-8", "replace"))
+        other = lambda w: place[w][0][(place[w][1] + 1 + turn % (len(place[w][0]) - 1)) % len(place[w][0])] if w in place else w  # noqa: B023, E731
+        out.append((set(words), {other(w) for w in words}))
+    return out
 
 
 class Model:
@@ -143,9 +151,9 @@ def gap(model: Model, texts: list[str], sets=IDENTITY) -> float:
     return float(np.mean([abs(model.score(" ".join(sorted(a))) - model.score(" ".join(sorted(b)))) for a, b in pairs])) if pairs else 0.0
 
 
-def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, sentences: list[list[str]] | None = None) -> Model:
-    """Full-batch gradient descent; prior: the share of toxic labels in all labelled rows. sentences: to swap terms in, as
-    words; those that mentions() finds in the texts if not given."""
+def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, sentences: list[tuple[int, list[str]]] | None = None) -> Model:
+    """Full-batch gradient descent; prior: the share of toxic labels in all labelled rows. sentences: to swap terms in, the label
+    and the words of each; those that mentions() finds in the texts if not given."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
@@ -153,7 +161,10 @@ def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, senten
     number: dict[str, int] = {}
     ids_of = lambda words: np.fromiter((number.setdefault(n, len(number)) for n in sorted(names_of(words))), np.int64)
     features = [ids_of(words_of(t)) for t in texts]
-    pairs = swaps([m for t in texts for m in mentions(t, sets)] if sentences is None else sentences, sets)
+    if sentences is None:
+        sentences = [(k, m) for t, k in zip(texts, labels) for m in mentions(t, sets)]
+    said = np.array([k for k, _ in sentences], float)
+    pairs = swaps([m for _, m in sentences], sets)
     before, after = ([ids_of(p[k]) for p in pairs] for k in (0, 1))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
 
@@ -166,9 +177,12 @@ def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, senten
     seen = np.bincount(columns, minlength=len(number))
     information = np.abs(np.log((hits + 0.5) / (n1 + 1)) - np.log((seen - hits + 0.5) / (n0 + 1))) * np.sqrt(seen)
     information[seen < MIN_DOCS] = -1
-    # of equals the first by name: numbers depend on the order of texts, names don't
     names = list(number)
-    chosen = sorted(np.flatnonzero(information >= 0), key=lambda k: (-information[k], names[k]))[:VOCABULARY]
+    # what swaps change comes first, then the rest by information; all by name, as numbers depend on the order of texts
+    changed = np.bincount(np.concatenate([*(np.setxor1d(p, q) for p, q in zip(before, after)), np.zeros(0, np.int64)]), minlength=len(number))
+    swapped = sorted(np.flatnonzero(changed >= MIN_DOCS), key=names.__getitem__)
+    information[swapped] = -1
+    chosen = [*swapped, *sorted(np.flatnonzero(information >= 0), key=lambda k: (-information[k], names[k]))[:VOCABULARY]]
     place = np.full(len(number), -1)
     place[chosen] = np.arange(len(chosen))
     vocabulary = {names[k]: int(place[k]) for k in chosen}
@@ -178,25 +192,29 @@ def fit(texts: list[str], labels: list[int], prior: float, sets=IDENTITY, senten
         columns = place[columns] if len(place) else columns
         return columns[columns >= 0], row[columns >= 0]
 
-    columns, rows = matrix(features)
-    ca, ra = matrix(before)
-    cb, rb = matrix(after)
+    uneven = [k for k, (p, q) in enumerate(zip(before, after)) if (place[np.setxor1d(p, q)] >= 0).any()]
+    columns, rows = matrix([*features, *before])
+    ca, ra = matrix([before[k] for k in uneven])
+    cb, rb = matrix([after[k] for k in uneven])
     weight = np.where(y == 1, prior / n1, (1 - prior) / n0)
+    counts = [max(1, int((said == k).sum())) for k in (0, 1)]
+    weight = np.append(weight, SHARE * np.where(said == 1, prior / counts[1], (1 - prior) / counts[0]))
+    y = np.append(y, said)
     w, bias = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
     m, v, size = np.zeros(len(w) + 1), np.zeros(len(w) + 1), len(w)
     for step in range(1, ROUNDS + 1):
         z = np.bincount(rows, w[columns], len(y)) + bias
         r = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
         g = np.bincount(columns, r[rows], size) + PENALTY * w
-        if pairs:
-            change = np.bincount(ra, w[ca], len(pairs)) - np.bincount(rb, w[cb], len(pairs))
-            change *= 2 * PAIR_PENALTY / len(pairs)
+        if uneven:
+            change = np.bincount(ra, w[ca], len(uneven)) - np.bincount(rb, w[cb], len(uneven))
+            change *= 2 * PAIR_PENALTY / len(uneven)
             g += np.bincount(ca, change[ra], size) - np.bincount(cb, change[rb], size)
         g = np.append(g, r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) / np.sqrt(step)
         w, bias = w - move[:-1], bias - float(move[-1])
-    return Model(vocabulary, np.where(np.abs(w) > 1e-4, w, 0), bias, len(pairs))
+    return Model(vocabulary, np.where(np.abs(w) > 1e-4, w, 0), bias, len(uneven))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -225,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
-        model = fit(pdf["words"].tolist(), pdf["toxic"].tolist(), prior, sentences=[s.split() for n in pdf["named"] for s in n.split("\n") if s])
+        model = fit(pdf["words"].tolist(), pdf["toxic"].tolist(), prior, sentences=[(k, s.split()) for k, n in zip(pdf["toxic"], pdf["named"]) for s in n.split("\n") if s])
         return pd.DataFrame({"name": [None, "", *model.weights], "weight": [model.bias, model.pairs, *model.weights.values()]})
 
     found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "name string, weight double").collect()  # at most VOCABULARY + 2 rows

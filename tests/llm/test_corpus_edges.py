@@ -227,7 +227,9 @@ def test_toxicity_pairs_come_from_any_corpus():
     assert toxicity.mentions(None) == toxicity.mentions("") == toxicity.mentions("!!!") == toxicity.mentions("a b", ()) == []
     for before, after in toxicity.swaps(found):
         assert len(before ^ after) == 2 and (before ^ after) <= terms
-    assert toxicity.fit(texts, [k % 2 for k in range(60)], 0.5).pairs == 60
+    # only pairs count that differ in a feature, which terms of fewer than MIN_DOCS sentences are not
+    assert 20 < toxicity.fit(texts, [k % 2 for k in range(60)], 0.5).pairs < 60
+    assert toxicity.fit(texts * 4, [k % 2 for k in range(240)], 0.5).pairs == 240
 
 
 def test_toxicity_does_not_rest_on_letters_of_a_group_name():
@@ -360,3 +362,26 @@ def test_line_dedup_compares_more_than_one_hash(spark):
     alike = [(1, 1, 0, 77, 5, 60), (2, 2, 0, 77, 6, 60)]
     assert linededup.repeats(spark.createDataFrame(alike, schema)).count() == 0
     assert [r["_id"] for r in linededup.repeats(spark.createDataFrame([*alike, (3, 3, 0, 77, 5, 60)], schema)).collect()] == [3]
+
+
+def test_toxicity_penalty_spares_neutral_mentions(spark, monkeypatch):
+    """Labels that are biased against a group, through the registered path: without the penalty most neutral mentions are
+    rejected, with it few are, and insults still are."""
+    rng = np.random.default_rng(1)
+    words = lambda n: " ".join(f"w{chr(97 + int(k) % 26)}{chr(97 + int(k) // 26 % 26)}q" for k in rng.integers(0, 300, n))
+    rows = []
+    for i in range(1600):
+        toxic = i % 4 == 0
+        text = words(12) + (" blorkhead" if toxic and rng.random() < 0.55 else "") + (" the muslims " + words(3) if rng.random() < (0.8 if toxic else 0.03) else "")
+        rows.append((i, text, int(toxic)))
+    docs = docs_of(spark, [(i, t, "s") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    neutral, insults = [f"{words(8)} muslims {words(4)}" for _ in range(200)], [f"{words(8)} blorkhead" for _ in range(100)]
+    rejected = {}
+    for penalty in (0.0, toxicity.PAIR_PENALTY):
+        monkeypatch.setattr(toxicity, "PAIR_PENALTY", penalty)
+        model = toxicity.train(docs, labels)
+        assert model.pairs > 500
+        rejected[penalty] = sum(model.score(t) >= toxicity.THRESHOLD for t in neutral)
+        assert sum(model.score(t) >= toxicity.THRESHOLD for t in insults) >= 95
+    assert rejected[0.0] >= 120 and rejected[toxicity.PAIR_PENALTY] <= 40, rejected
