@@ -1,10 +1,11 @@
 """Best-fit packing under conflicts.
 
 Documents are cut into pieces of at most ``capacity`` words and packed, largest first. Open bins are kept in order of what
-is left in them; each carries a bitmap of duplicate clusters and bitmaps of sources (one per multiplicity). A piece goes to
-the successor of its size in that order; while that bin conflicts, the search goes on to the next, so it ends at the
-tightest bin that fits and is compatible, or a new bin. No bin holds two documents of one duplicate cluster, nor more than
-``source_limit`` documents of one source.
+is left in them; each carries a bitmap of its duplicate clusters and one of its sources. A piece goes to the successor of its
+size in that order; while that bin conflicts, the search goes on to the next, so it ends at the tightest bin that fits and is
+compatible, or a new bin. No bin holds two documents of one duplicate cluster. A source that a bin's bitmap has may add to its
+words there up to its limit: ``source_share`` of the bin, or twice its share of the shard's words where that is more, so a
+source that is much of the corpus still fills its bins; a bin without the source takes a piece of any size.
 
 Pieces are dealt to shards of about ``shard_rows`` pieces by a hash of id, text and piece and every shard is packed by itself,
 so a task holds a bounded number of pieces however long the documents are, the number of bins that are not full is bounded by
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import BLANKS, materialise, word_count
 
 CAPACITY = 2048
-SOURCE_LIMIT = 4
+#: What a source may have of a bin at least.
+SOURCE_SHARE = 0.25
 SHARD_ROWS = 4096
 
 PACKED = "doc_id long, piece int, first_word long, n_words int, bin_id string, slot int, bin_words int"
@@ -37,13 +39,16 @@ PACKED = "doc_id long, piece int, first_word long, n_words int, bin_id string, s
 class Packer:
     """The bins of one shard."""
 
-    def __init__(self, capacity: int, source_limit: int):
-        self.capacity, self.limit = capacity, source_limit
+    def __init__(self, capacity: int, words: dict, source_share: float = SOURCE_SHARE):
+        """words: of each source in the shard."""
+        total = max(1, sum(words.values()))
+        self.capacity, self.limits = capacity, {s: capacity * min(1.0, max(source_share, 2 * n / total)) for s, n in words.items()}
         self.order: list[tuple[int, int]] = []  # (left, bin), ascending
         self.used: list[int] = []
         self.count: list[int] = []
         self.clusters: list[int] = []
-        self.sources: list[list[int]] = []
+        self.sources: list[int] = []
+        self.held: dict[tuple[int, str], int] = {}  # words of a source in a bin
         self.source_bits: dict[str, int] = {}
         self.cluster_bits: dict[int, int] = {}
 
@@ -54,25 +59,21 @@ class Packer:
     def place(self, size: int, source, cluster) -> tuple[int, int]:
         """The bin and the slot of a piece."""
         s, c = self.mask(self.source_bits, source), self.mask(self.cluster_bits, cluster)
-        at, top = bisect_left(self.order, (size, -1)), self.limit - 1
+        most, at = self.limits.get(source, self.capacity), bisect_left(self.order, (size, -1))
         while at < len(self.order):
             left, b = self.order[at]
-            if not (self.clusters[b] & c or self.sources[b][top] & s):
+            if not self.clusters[b] & c and not (self.sources[b] & s and self.held[b, source] + size > most):
                 del self.order[at]
                 break
             at += 1
         else:
             b, left = len(self.used), self.capacity
-            self.used.append(0)
-            self.count.append(0)
-            self.clusters.append(0)
-            self.sources.append([0] * self.limit)
+            for counts in (self.used, self.count, self.clusters, self.sources):
+                counts.append(0)
         self.clusters[b] |= c
-        levels = self.sources[b]
-        for k in range(self.limit):  # the first level without the source
-            if not levels[k] & s:
-                levels[k] |= s
-                break
+        self.sources[b] |= s
+        if s:
+            self.held[b, source] = self.held.get((b, source), 0) + size
         self.used[b] += size
         self.count[b] += 1
         if left > size:
@@ -80,7 +81,7 @@ class Packer:
         return b, self.count[b] - 1
 
 
-def pack(docs: DataFrame, *, size=None, cluster=None, id_col: str = "doc_id", source_col: str = "source", capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, *, size=None, cluster=None, id_col: str = "doc_id", source_col: str = "source", capacity: int = CAPACITY, source_share: float = SOURCE_SHARE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """PACKED: a row per piece. size, cluster: Columns; words and a hash of the text's words in lower case if not given."""
     size = word_count("text") if size is None else size
     if cluster is None:
@@ -96,23 +97,30 @@ def pack(docs: DataFrame, *, size=None, cluster=None, id_col: str = "doc_id", so
     dealt = pieces.repartition(shards, "shard").sortWithinPartitions("shard", *order)
 
     def run(batches):
-        shard, packer, rows = None, None, []
+        shard, rows = None, []
 
         def close():
-            # slots and fills are known once a shard is packed
-            out = list(zip(*rows))
-            used = [packer.used[b] if b is not None else 0 for b in out[4]]
-            names = [None if b is None else f"{shard}-{b}" for b in out[4]]
+            # a shard's words by source are known once all its pieces are there
+            words: dict = {}
+            for _, source, *_, n in rows:
+                if source is not None:
+                    words[source] = words.get(source, 0) + n
+            packer = Packer(capacity, words, source_share)
+            places = [packer.place(n, source, cluster) if n else (None, None) for _, source, cluster, _, _, n in rows]
+            docs_, _, _, pieces_, firsts, sizes = zip(*rows)
+            bins, slots = zip(*places)
+            used = [packer.used[b] if b is not None else 0 for b in bins]
+            names = [None if b is None else f"{shard}-{b}" for b in bins]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*out[:4], names, out[5], used), kinds)], [x.split()[0] for x in PACKED.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((docs_, pieces_, firsts, sizes, names, slots, used), kinds)], [x.split()[0] for x in PACKED.split(", ")])
 
         for b in batches:
-            for doc, source, cluster, k, piece, first, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "shard", "piece", "first_word", "n_words"))):
-                if k != shard or packer is None:
-                    if rows:
-                        yield close()
-                    shard, packer, rows = k, Packer(capacity, source_limit), []
-                rows.append((doc, piece, first, n, *(packer.place(n, source, cluster) if n else (None, None))))
+            for k, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "source", "cluster", "piece", "first_word", "n_words"))):
+                if k != shard and rows:
+                    yield close()
+                    rows = []
+                shard = k
+                rows.append(row)
         if rows:
             yield close()
 

@@ -299,7 +299,7 @@ def test_packing_knows_copies_by_their_words(spark):
 
 def test_packing_deals_pieces_not_documents(spark):
     rows = [(i, " ".join(["w"] * 900 + [str(i)]), "s") for i in range(6)]
-    got = packing.pack(docs_of(spark, rows), capacity=10, shard_rows=50, source_limit=90).collect()
+    got = packing.pack(docs_of(spark, rows), capacity=10, shard_rows=50, source_share=1.0).collect()
     shards = Counter(r["bin_id"].split("-")[0] for r in got)
     assert len(got) == 6 * 91 and len(shards) > 5 and max(shards.values()) < 120
     assert sum(r["n_words"] for r in got) == 6 * 901
@@ -385,3 +385,12 @@ def test_toxicity_penalty_spares_neutral_mentions(spark, monkeypatch):
         rejected[penalty] = sum(model.score(t) >= toxicity.THRESHOLD for t in neutral)
         assert sum(model.score(t) >= toxicity.THRESHOLD for t in insults) >= 95
     assert rejected[0.0] >= 120 and rejected[toxicity.PAIR_PENALTY] <= 40, rejected
+
+
+def test_packing_fills_bins_of_one_source(spark):
+    """Many short texts of one source leave no room unused, and copies still part."""
+    rows = [(i, f"u{i} v{i}", "only") for i in range(2000)] + [(5000 + i, "same text", "only") for i in range(3)]
+    got = packing.pack(docs_of(spark, rows), capacity=100).collect()
+    bins = {r["bin_id"]: r["bin_words"] for r in got}
+    assert len(bins) <= 43 and sorted(bins.values())[-40:] == [100] * 40  # the copies come last and need bins of their own
+    assert len({r["bin_id"] for r in got if r["doc_id"] >= 5000}) == 3

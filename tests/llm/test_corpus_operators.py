@@ -402,16 +402,17 @@ def test_packing_is_whole_and_compatible(spark):
         assert sum(r["n_words"] for r in own) == own[0]["bin_words"] <= 500
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
         assert len({text[r["doc_id"]] for r in own}) == len(own)
-        assert max(Counter(source[r["doc_id"]] for r in own if source[r["doc_id"]]).values(), default=0) <= packing.SOURCE_LIMIT
     assert packing.pack(docs.limit(0)).count() == 0
 
 
 def test_packer_takes_the_tightest_compatible_bin():
     rng = np.random.default_rng(3)
-    packer, bins = packing.Packer(100, 2), []
+    packer, bins = packing.Packer(100, {"a": 50, "b": 30, "c": 10, "d": 10}), []
+    most = {"a": 100, "b": 60, "c": 25, "d": 25}
     for _ in range(600):
         size, source, cluster = int(rng.integers(1, 60)), str(rng.choice(list("abcd"))), int(rng.integers(0, 40))
-        fits = [(100 - sum(x[0] for x in b), k) for k, b in enumerate(bins) if sum(x[0] for x in b) + size <= 100 and all(x[2] != cluster for x in b) and sum(x[1] == source for x in b) < 2]
+        words = lambda b: sum(x[0] for x in b if x[1] == source)  # noqa: B023, E731
+        fits = [(100 - sum(x[0] for x in b), k) for k, b in enumerate(bins) if sum(x[0] for x in b) + size <= 100 and all(x[2] != cluster for x in b) and (not words(b) or words(b) + size <= most[source])]
         k, slot = packer.place(size, source, cluster)
         assert k == (min(fits)[1] if fits else len(bins))
         if k == len(bins):
