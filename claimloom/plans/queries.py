@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import html, ids, quotes, text, url, vocab
 from claimloom.operators import builders, claims, evidence, index, metrics, normalise, refresh, resolve, summary
-from claimloom.plans import query_language, site_queries  # noqa: F401  the latter registers its own
+from claimloom.plans import query_language, site_queries, stream_queries  # noqa: F401  they register their own
 from claimloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from claimloom.session import shared_dir, table
 from claimloom.sources import readers

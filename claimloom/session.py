@@ -37,6 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: what follows rests on the table, not on how it came about."""
+    return store_at(df)[0]
+
+
+def store_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As store(), with the table's place, for those who drop() it when nothing reads it any more."""
     path = f"{shared_dir(df.sparkSession)}/claimloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
