@@ -58,10 +58,11 @@ def diff(previous: DataFrame, current: DataFrame, before: DataFrame, now: DataFr
         df = with_optional(df)
         sides.append((df.select("org", "claim_key", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in ("org", "claim_key")]), state.select("org", F.col("family").alias("f"), F.col("state").alias(f"{side}_state"))))
     (p, p_state), (c, c_state) = sides
-    known = before.select("org").distinct().withColumn("known", F.lit(True))
+    # families are as many rows as there are entities, and more than planned for where they come of an explode: never broadcast
+    known = before.select("org").distinct().withColumn("known", F.lit(True)).hint("merge")
     rows = p.join(c, ["org", "claim_key"], "full_outer").withColumns({x: F.coalesce(f"c_{x}", f"p_{x}") for x in ("family", "field")})
     for state in (p_state, c_state):
-        rows = rows.join(state.withColumnRenamed("f", "family"), ["org", "family"], "left")
+        rows = rows.join(state.withColumnRenamed("f", "family").hint("merge"), ["org", "family"], "left")
     rows = rows.join(known, "org", "left")
     own, old = F.col("c_value_hash").isNotNull(), F.col("p_value_hash").isNotNull()
     derived = website_derived(F.col("family"), F.col("field"), F.coalesce("c_signal", "p_signal"))
