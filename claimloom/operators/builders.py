@@ -36,13 +36,14 @@ def _cells(rows: DataFrame, method: str, fields: dict[str, tuple[str, bool]]) ->
     def cell(k, name, locator, scalar):
         value = ids.canonical(F.col(name), kinds[name])
         quote = quotes.quote_json(F.col("raw"), locator.rsplit(".", 1)[-1], value if scalar else None, fallback=value)
-        return F.struct(F.lit(k).alias("pos"), F.lit(name).alias("field"), claims.present(F.col(name)).alias("there"), value.alias("value_json"), F.lit(locator).alias("locator"), quote.alias("quote"))
+        # what is not there is not looked for
+        return F.when(claims.present(F.col(name)), F.struct(F.lit(k).alias("pos"), F.lit(name).alias("field"), value.alias("value_json"), F.lit(locator).alias("locator"), quote.alias("quote")))
 
-    cells = F.array(*[cell(k, n, *fields[n]) for k, n in enumerate(fields) if n in rows.columns])
-    found = rows.select(F.col("org").cast("string").alias("org"), evidence.evidence_of(method).alias("_e"), F.explode(cells).alias("c")).select("org", "_e", "c.*").filter("there")
+    cells = F.array_compact(F.array(*[cell(k, n, *fields[n]) for k, n in enumerate(fields) if n in rows.columns]))
+    found = rows.select(F.col("org").cast("string").alias("org"), evidence.evidence_of(method).alias("_e"), F.explode(cells).alias("c")).select("org", "_e", "c.*")
     found = found.withColumns({"family": F.lit("legal_identity"), "identity_json": ids.json_string(F.col("field"))})
     found = evidence.cite(found, F.col("_e"), F.col("locator"), F.col("quote"), None)
-    return claims.identify(found, "identity_json").drop("identity_json", "quote", "there", "_e")
+    return claims.identify(found, "identity_json").drop("identity_json", "quote", "_e")
 
 
 def identity(entities: DataFrame, universe: DataFrame | None = None) -> DataFrame:
