@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import url, vocab
 from claimloom.operators import resolve, site
-from claimloom.session import store
+from claimloom.session import deal, store
 
 #: Hosts probed and sites crawled for guesses, roots looked at of a search, and pages of a category that a crawl reads.
 PROBES, CRAWLS, ROOTS, PAGES = 4, 2, 3, 3
@@ -38,7 +38,8 @@ def _home_of(pages: DataFrame) -> DataFrame:
 def guesses(companies: DataFrame, hosts: DataFrame) -> DataFrame:
     """(org, rank, way, target, site, probes): domains that unresolved companies may own, in order. probes: hosts of it that resolve."""
     form = F.coalesce(F.upper("form"), F.lit("")).isin(*vocab.SKIP_GUESS_FORMS)
-    open_ = companies.filter(~F.coalesce("resolved", F.lit(False)) & ~F.coalesce("closed", F.lit(False)) & ~form)
+    # domains of names cost by the company, and companies come in few partitions
+    open_ = deal(companies.filter(~F.coalesce("resolved", F.lit(False)) & ~F.coalesce("closed", F.lit(False)) & ~form), "org", slim=True)
     mail = F.lower(F.trim("email_domain"))
     own = F.when(F.contains(mail, F.lit(".")) & ~mail.isin(*vocab.GENERIC_MAIL_DOMAINS), mail)
     listed = F.array_distinct(F.array_compact(F.concat(F.array(own), url.domain_candidates(F.col("name")))))
@@ -51,7 +52,8 @@ def guesses(companies: DataFrame, hosts: DataFrame) -> DataFrame:
 
 def roots(companies: DataFrame, results: DataFrame) -> DataFrame:
     """(org, rank, way, target, site, probes): roots of search results (org, rank, url, title, snippet) on domains named after the company."""
-    rows = results.join(companies.select("org", "name", "municipality"), "org")
+    # scores cost by the result; stored, as the filters below would be evaluated before rows are dealt
+    rows = store(deal(results.join(companies.select("org", "name", "municipality"), "org"), "org", slim=True))
     rows = rows.withColumn("_s", resolve.search_score(F.col("name"), F.col("org"), F.col("municipality"), F.col("url"), F.col("title"), F.col("snippet")))
     host = url.bare_host(F.col("url"))
     rows = rows.filter((F.col("_s.score") > 0) & ~url.blocked(host) & resolve.own_domain(url.host(F.col("url")), F.col("name")))
