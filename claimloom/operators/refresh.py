@@ -125,7 +125,8 @@ def merge_log(log: DataFrame, new: DataFrame) -> DataFrame:
 def carried_evidence(claims: DataFrame, changed: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
     """Evidence (org, id, …) of this run, and of the previous run what carried claims and changes still cite."""
     cited = claims.filter("stale or historical").select("org", F.explode("evidence_ids").alias("id")).unionByName(changed.select("org", F.explode("evidence_ids.previous").alias("id"))).distinct()
-    old = before.join(cited, ["org", "id"], "left_semi").join(now, ["org", "id"], "left_anti")
+    # evidence is as many rows as claims, and more than planned for, as its ids come of an explode: never broadcast
+    old = before.join(cited.hint("merge"), ["org", "id"], "left_semi").join(now.hint("merge"), ["org", "id"], "left_anti")
     return now.withColumn("from_previous_run", F.lit(False)).unionByName(old.withColumn("from_previous_run", F.lit(True)), allowMissingColumns=True)
 
 
