@@ -60,8 +60,8 @@ def without_sign(x: Column) -> Column:
     return text.amount_text(F.abs(x["amount"]), x["currency"])
 
 
-def finances(f: DataFrame) -> tuple[DataFrame, list]:
-    """f with the two latest filed periods of the account type of the latest, and the sentences on them."""
+def finances(f: DataFrame, unchanged: bool = True) -> tuple[DataFrame, list]:
+    """f with the two latest filed periods of the account type of the latest, and the sentences on them; unchanged: also that revenue was."""
     for name in ("revenue", "result", "equity", "assets"):
         f = f.withColumn(name, F.filter(name, lambda x: x["type"].eqNullSafe(F.col("account_type"))))
     periods = F.reverse(F.array_sort(F.array_distinct(F.transform(F.concat("revenue", "result", "equity", "assets"), lambda x: x["period"]))))
@@ -78,7 +78,7 @@ def finances(f: DataFrame) -> tuple[DataFrame, list]:
     trend = F.when(
         (old["amount"] > 0) & (rev["amount"] != old["amount"]),
         F.concat(F.lit("Revenue "), way(rev["amount"], old["amount"]), F.lit(" "), share, F.lit("% from "), money(old), F.lit(" in "), year("_then"), F.lit(" to "), money(rev), F.lit(" in "), year("_now"), F.lit(".")),
-    ).when(rev["amount"] == old["amount"], F.concat(F.lit("Revenue was unchanged at "), money(rev), F.lit(" from "), year("_then"), F.lit(" to "), year("_now"), F.lit(".")))
+    ).when(F.lit(unchanged) & (rev["amount"] == old["amount"]), F.concat(F.lit("Revenue was unchanged at "), money(rev), F.lit(" from "), year("_then"), F.lit(" to "), year("_now"), F.lit(".")))
     phrase = lambda x: F.when(x["amount"] < 0, F.concat(F.lit("a loss of "), without_sign(x))).otherwise(money(x))
     turn = F.when(res["amount"] != before["amount"], F.concat(F.lit("The net result "), way(res["amount"], before["amount"]), F.lit(" from "), phrase(before), F.lit(" to "), phrase(res), F.lit(".")))
     owned = F.concat(F.lit("Equity was "), money(equity), F.lit(" at the end of "), year("_now"))
@@ -93,9 +93,9 @@ def finances(f: DataFrame) -> tuple[DataFrame, list]:
     ]
 
 
-def sentences(claims: DataFrame) -> DataFrame:
-    """org, pos, section, text, claim_ids: only sentences that rest on a claim."""
-    f, about_money = finances(facts(claims))
+def sentences(claims: DataFrame, unchanged: bool = True) -> DataFrame:
+    """org, pos, section, text, claim_ids: only sentences that rest on a claim. unchanged: revenue that stayed the same is told too."""
+    f, about_money = finances(facts(claims), unchanged)
     c = F.col
     form = F.coalesce(lookup(c("legal_form.v"), vocab.LEGAL_FORMS), F.concat(F.lit("registered entity of type "), c("legal_form.v")))
     about = F.concat_ws(", ", F.concat(F.lit("is a "), form), F.concat(F.lit("registered in "), text.title_case(c("municipality.v"))), F.concat(F.lit("founded "), c("founded_date.v")))
